@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokencount, urlfilter
+from . import bpe, decontam, minhash, pii, quality, tokencount, toxicity, urlfilter, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,17 +16,48 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tokencount.token_counts(table(spark, sf_dir, "documents"))
     return c.withColumn("over_limit", c.n_tokens > 512)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
+    own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v) and k[2].isdigit()}
+    return own | {"pipeline": pipeline}
 
 
 _OP1 = """
@@ -44,5 +75,20 @@ FROM hp LEFT JOIN m ON m.page_id = hp.page_id AND m.rn = 1
 """
 
 
+#: Vectors of equal labels; valid ones are scaled to unit length, links and their transitive closure follow.
+_OP2 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+n AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN (SELECT id, min(r) AS c FROM reach GROUP BY id) m ON m.id = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1}
+    return {"op1_url_filter": _OP1, "op2_embedding_near_dedup": _OP2}
