@@ -235,6 +235,10 @@ def judged(found: DataFrame, threshold: float = 0.5) -> DataFrame:
     return found.withColumn("_spans", F.array_sort(keep))
 
 
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def _joined(spans) -> F.Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
@@ -250,7 +254,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     found = stored(candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id", "_t", ("_id",)).drop("_text"), "pii")
     out = judged(found, threshold)
     base = F.filter("_spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in BASE]
     return out.select(F.col("_id").alias(id_col), *counts, _joined(base).alias("base"), _joined(F.col("_spans")).alias("spans"))
 
 
