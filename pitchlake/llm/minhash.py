@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASES, binary_column, byte_codes, forget, mix, powers, slices, stored, tuned, utf8
-from .components import components
+from .components import Forest, components
 
 WORDS = 5
 #: Minwise tokens per document, of 32 bits.
@@ -24,7 +24,7 @@ TOKENS = 96
 #: Independent trees; chance of a second branch at a node, so that about 1/similarity paths go on.
 TREES, SECOND = 10, 0.18
 #: Documents of a node that are compared exhaustively; depth at which larger nodes are taken as they are.
-SMALL, DEPTH = 48, 8
+SMALL, DEPTH = 48, 4
 #: A pair is confirmed on its sets if its vectors agree in this share less than the similarity asked for.
 SLACK = 0.16
 #: Documents of a group that one task confirms; larger groups are dealt out in chunks.
@@ -144,26 +144,6 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("node", "id", "tokens").mapInArrow(run, f"node long, id {kind}")
 
 
-class Sets:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
-
-
 def _compared(rows: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that span the documents of each node whose vectors agree in a share of least."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -199,9 +179,9 @@ def _compared(rows: DataFrame, least: float) -> DataFrame:
             a = np.concatenate(left) if left else np.zeros(0, int)
             b = np.concatenate(right) if right else np.zeros(0, int)
             if len(a):
-                tree = Sets(len(ids))
-                keep = np.array([tree.join(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)], bool)
-                a, b = a[keep], b[keep]
+                tree = Forest(len(ids))
+                tree.join(a, b)
+                a, b = (np.concatenate([x[i] for x in tree.links]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     dealt = rows.repartition("node").sortWithinPartitions("node").select("node", "id", "low")
@@ -326,7 +306,7 @@ def _confirmed(sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
     """wanted (id, ...) with the packed shingle sets of these documents."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id")
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("shuffle_merge"), "id")
     names = [c for c in src.columns if c not in ("id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, tuned
-from .components import components
+from .components import Forest, components
 
 COSINE = 0.98
 #: Vectors that the axes are fitted on, at most; the axes only steer the search, any rotation finds the same links.
@@ -38,30 +38,6 @@ def _unit(packed: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-class Forest:
-    """Union-find with vectorised unions; keeps the links that joined two trees."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.up[i], self.up[j]
-            new = a != b
-            if not new.any():
-                return
-            i, j, a, b = i[new], j[new], a[new], b[new]
-            high, at = np.unique(np.maximum(a, b), return_index=True)
-            self.up[high] = np.minimum(a, b)[at]
-            self.links.append((i[at], j[at]))
-            while True:
-                top = self.up[self.up]
-                if (top == self.up).all():
-                    break
-                self.up = top
-
-
 class Join:
     """Joins sequences of one strip."""
 

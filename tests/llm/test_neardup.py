@@ -71,7 +71,9 @@ def test_keep_one_and_empty(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == [] and out.columns == df.columns
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_one_task", [500_000, 0])
+def test_components(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr("pitchlake.llm.components.ONE_TASK", in_one_task)
     rng = random.Random(2)
     for edges in ([], [(1, 1)], [(i, i + 1) for i in range(40)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)], [(0, i) for i in range(1, 50)]):
         up = {}
