@@ -344,9 +344,9 @@ def associate_nearest(spark, sf):
     return attributed(spark, sf).select("event_id", "match_id", "track", "team", F.round("distance", 6).alias("distance"))
 
 
-@query(f"{{samples,players,teams}}, {_NEAR} SELECT event_id, team FROM att WHERE lower(coalesce(team, '')) = 'nation_3' AND label = 'goal_kick'")
+@query(f"{{samples,players,teams}}, {_NEAR} SELECT event_id, team FROM att WHERE lower(coalesce(team, '')) = 'nation_9' AND label = 'goal_kick'")
 def event_filter_team(spark, sf):
-    return matching.event_filter(attributed(spark, sf), label="goal_kick", team="Nation_3").select("event_id", "team")
+    return matching.event_filter(attributed(spark, sf), label="goal_kick", team="Nation_9").select("event_id", "team")
 
 
 @query(f"{{samples,players,teams}}, {_NEAR} SELECT event_id, track FROM att WHERE track IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) OR track = 5")

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol, runtime_checkable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 DETECTIONS = "path string, frame long, det long, class_id int, x1 double, y1 double, x2 double, y2 double, confidence double"
 READS = "path string, number int, conf double"
@@ -26,13 +28,16 @@ class FrameModel(Protocol):
 def infer(images: DataFrame, load: Callable[[], FrameModel], schema: str, carry: tuple[str, ...] = ("path",)) -> DataFrame:
     """Rows that a model finds in images (columns carry and content)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
         for b in batches:
-            rows = [{**{c: getattr(r, c) for c in carry}, **x} for r, own in zip(b.itertuples(), model(b["content"].tolist()), strict=True) for x in own]
-            yield pd.DataFrame(rows) if rows else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            rows = b.to_pylist()
+            found = [{**{c: r[c] for c in carry}, **x} for r, own in zip(rows, model([r["content"] for r in rows]), strict=True) for x in own]
+            yield pa.RecordBatch.from_pylist(found, arrow)
 
-    return images.select(*carry, "content").mapInPandas(run, schema)
+    return images.select(*carry, "content").mapInArrow(run, schema)
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFrame:
@@ -44,13 +49,14 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFra
 def video_metadata(files: DataFrame, probe: Callable[[str], dict[str, float]]) -> DataFrame:
     """path, fps, total_frames, width, height, duration by a probe that workers can call."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = "path string, fps double, total_frames long, width int, height int"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"path": p, **probe(p)} for p in b["path"]]
-            d = pd.DataFrame(rows, columns=["path", "fps", "total_frames", "width", "height"])
-            yield d.assign(duration=d["total_frames"] / d["fps"])
+            yield pa.RecordBatch.from_pylist([{"path": p, **probe(p)} for p in b.column(0).to_pylist()], arrow)
 
-    return files.select("path").mapInPandas(run, "path string, fps double, total_frames long, width int, height int, duration double")
+    return files.select("path").mapInArrow(run, schema).withColumn("duration", F.col("total_frames") / F.col("fps"))
 
 
 def cut_commands(cuts: DataFrame) -> DataFrame:
