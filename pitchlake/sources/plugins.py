@@ -66,6 +66,6 @@ def cut_commands(cuts: DataFrame) -> DataFrame:
 
 
 def classify_reply(replies: DataFrame, column: str, schema: str) -> DataFrame:
-    """A model's reply as a struct: the text itself as JSON, or the part between its outer braces."""
+    """A model's reply as a struct: the JSON between its outer braces, null if there is none."""
     inner = F.regexp_extract(column, r"(?s)\{.*\}", 0)
-    return replies.withColumn("reply", F.coalesce(F.from_json(column, schema), F.from_json(inner, schema)))
+    return replies.withColumn("reply", F.when(inner != "", F.from_json(inner, schema)))
