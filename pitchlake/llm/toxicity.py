@@ -178,21 +178,27 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fits on at most max_labelled labelled rows, those of the smallest hashes; rows held out aren't read."""
+    """Fits on at most max_labelled labelled rows, those of the smallest hashes; rows held out aren't read.
+
+    Each half of these rows votes by a lexicon mined from the other half, so that the
+    label model and the classifier see how far a lexicon holds on texts it wasn't mined
+    from; documents are then scored by the lexicon of all.
+    """
     lab = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(4)), "y").limit(max_labelled)
     src = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    sample = stored(src.join(F.broadcast(lab), "id").select("text", "y"), "toxicity").dropDuplicates(["text", "y"])
+    sample = stored(src.join(F.broadcast(lab), "id").select("text", "y"), "toxicity").dropDuplicates(["text", "y"]).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
     voters = Voters(mine(sample))
+    halves = [Voters(mine(sample.where(F.col("half") != i))) for i in (0, 1)]
     width = len(voters("")[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                got = [voters(t) for t in texts(b.column(0))]
+                got = [halves[i](t) for i, t in zip(b.column(2).to_pylist(), texts(b.column(0)), strict=True)]
                 v, f = np.array([g[0] for g in got]), np.array([g[1] for g in got])
                 yield pa.RecordBatch.from_arrays([b.column(1), list_column(v.ravel(), np.full(len(v), v.shape[1]), pa.int64()), list_column(f.ravel(), np.full(len(f), f.shape[1]), pa.float64())], ["y", "votes", "figures"])
 
-    rows = sample.select("text", "y").mapInArrow(run, "y int, votes array<long>, figures array<double>").limit(max_labelled).toArrow()
+    rows = sample.select("text", "y", "half").mapInArrow(run, "y int, votes array<long>, figures array<double>").limit(max_labelled).toArrow()
     flat = lambda name, k: rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
     return Model(voters, flat("votes", Voters.N_VOTES), flat("figures", width), rows.column("y").to_numpy())
 
