@@ -14,10 +14,6 @@ from ..functions.geometry import goal_zone, in_corner, on_touchline
 from ..functions.labels import phase
 from .sequence import complement, dead_labels, dead_segments, greedy_dedup, trailing_still
 
-#: label -> order among events of one time
-ORDER = ("goal_kick", "corner_kick", "throw_in")
-
-
 def _still(balls: DataFrame, key: list[str], n: int, limit: float) -> DataFrame:
     s = trailing_still(balls, key, "frame", "px", "py", n, limit)
     return s.where("still and fx is not null and fy is not null").drop("still")
@@ -42,10 +38,18 @@ def throw_ins(balls: DataFrame, key: list[str], n: int = 3, limit: float = 10.0,
     return _events(_still(balls, key, n, limit).where(near), key, "throw_in", gap_ms, 0.4)
 
 
-def set_pieces(balls: DataFrame, key: list[str], **args) -> DataFrame:
-    """All three kinds with their phase; a ball at rest in a corner is a goal kick as well."""
-    parts = [d(balls, key, **args) for d in (goal_kicks, corner_kicks, throw_ins)]
-    return reduce(DataFrame.unionByName, parts).withColumn("phase", phase(F.col("label")))
+def set_pieces(balls: DataFrame, key: list[str], n: int = 3, limit: float = 10.0, gap_ms: int = 5000) -> DataFrame:
+    """All three kinds with their phase; a ball at rest in a corner is a goal kick as well.
+
+    The samples are windowed once; each kind is thinned out on its own in one fold.
+    """
+    x, y = F.col("fx"), F.col("fy")
+    corner = in_corner(x, y)
+    kinds = F.array(F.when(goal_zone(x, y).isNotNull(), "goal_kick"), F.when(corner, "corner_kick"), F.when(on_touchline(x, y) & ~corner, "throw_in"))
+    rows = _still(balls, key, n, limit).withColumn("label", F.explode(F.array_compact(kinds)))
+    e = greedy_dedup(rows.select(*key, "label", "ts_ms", "frame", "px", "py", "fx", "fy", "conf"), [*key, "label"], gap_ms=gap_ms)
+    conf = F.coalesce("conf", F.when(F.col("label") == "throw_in", 0.4).otherwise(0.5))
+    return e.withColumn("conf", conf).withColumn("source", F.lit("rules")).withColumn("phase", phase(F.col("label")))
 
 
 @dataclass
