@@ -15,19 +15,18 @@ def admission(candidates: DataFrame, manifest: DataFrame, order: str, per_channe
     resolved); manifest: id, channel of what was kept before, which counts toward the
     caps. The first reason that fits counts; an id counts as seen from its second row on.
     """
-    per_key = F.col("channel")
-    known = manifest.select(F.col("id").alias("_mid")).distinct().withColumn("_seen", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(order)) == 1
-    c = candidates.withColumn("_first", first).join(known, F.col("id") == F.col("_mid"), "left").drop("_mid")
-    early = (
-        F.when(F.coalesce("_seen", F.lit(False)) | ~F.col("_first"), "seen")
-        .when(F.col("duration").isNull(), "unresolvable")
+    # judged by its own columns first: titles and descriptions needn't go through the shuffles
+    own = (
+        F.when(F.col("duration").isNull(), "unresolvable")
         .when(~open_licence(F.col("license")), "license")
         .when(off_topic(F.col("title"), F.col("description")), "off_topic")
         .when(F.col("duration") < min_duration, "too_short")
     )
-    c = c.withColumn("_early", early)
-    before = manifest.groupBy(per_key.alias("_mc")).agg(F.count("*").alias("_had"))
+    known = manifest.select(F.col("id").alias("_mid")).distinct().withColumn("_seen", F.lit(True))
+    first = F.row_number().over(Window.partitionBy("id").orderBy(order)) == 1
+    c = candidates.withColumn("_own", own).withColumn("_first", first).join(known, F.col("id") == F.col("_mid"), "left").drop("_mid")
+    c = c.withColumn("_early", F.when(F.coalesce("_seen", F.lit(False)) | ~F.col("_first"), "seen").otherwise(F.col("_own")))
+    before = manifest.groupBy(F.col("channel").alias("_mc")).agg(F.count("*").alias("_had"))
     c = c.join(before, c["channel"].eqNullSafe(F.col("_mc")), "left")
     turn = F.row_number().over(Window.partitionBy("channel", F.col("_early").isNull()).orderBy(order))
     c = c.withColumn("_ok", F.col("_early").isNull() & (turn + F.coalesce("_had", F.lit(0)) <= per_channel))
