@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, tuned
+from .common import frugal, slices, texts, tuned
 from .tokenizing import WordTable, load, tokenizer_file
 
 
@@ -41,6 +41,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     spark = tuned(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, piece = _table(path), pieces(path)
         for batch in slices(batches, "text"):
@@ -58,6 +59,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     ids.append(b"".join([x[0] for x in got]))
                     decoded.append(" ".join([x[1] for x in got]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
+        table.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")

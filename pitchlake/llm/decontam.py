@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, powers, slices, tuned, utf8
+from .common import frugal, list_column, powers, slices, tuned, utf8
 
 Q = 12
 #: Windows of an item in normalised bytes, and how far apart they start.
@@ -206,6 +206,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for items in blocks(benchmark, item_col, bench_text):
         shared = spark.sparkContext.broadcast(Index(items))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in slices(batches, "_text", 1 << 19):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, binary_column, byte_codes, forget, mix, powers, slices, stored, tuned, utf8
+from .common import BASES, binary_column, byte_codes, forget, frugal, mix, powers, slices, stored, tuned, utf8
 from .components import Forest, components
 
 WORDS = 5
@@ -99,6 +99,7 @@ def tokens(sets: list[np.ndarray], k: int = TOKENS) -> np.ndarray:
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n_shingles, two sums that stand for the set, and the packed tokens (null for an empty set), whole and as low bytes."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(*utf8(b.column(1)))
@@ -121,6 +122,7 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
     """(node, id) of the children of each row's node (node, id, tokens); at level 0 of the roots of all trees."""
     kind = rows.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -164,6 +166,7 @@ def _compared(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield held[0]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, ids, v in groups(batches):
             left, right = [], []
@@ -271,6 +274,7 @@ def _confirmed(sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
     """Links within each key of rows (key, id, shingles[, component, outer])."""
     kind = sets.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: list[tuple] = []
 
@@ -309,6 +313,7 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("shuffle_merge"), "id")
     names = [c for c in src.columns if c not in ("id", "text")]
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = shingle_sets(*utf8(b.column(1)))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts, tuned
+from .common import frugal, stored, texts, tuned
 
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "iban")
 BASE = KINDS[:4]
@@ -209,6 +209,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
     src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     kind = "array<struct<start:long,kind_no:int,end:long,kind:string,base:boolean,pattern:string>>"
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []

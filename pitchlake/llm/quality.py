@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, stored, tuned
+from .common import frugal, list_column, stored, tuned
 from .linear import Scaled, logistic, sigmoid
 
 #: Labelled rows and unlabelled documents that the two views are fitted on, at most.
@@ -77,6 +77,7 @@ def views(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """id, content array<double>, meta array<double> of every document."""
     tuned(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -158,6 +159,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
     view = stored(views(docs), "quality")
     model = fit(view, labels, label_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:

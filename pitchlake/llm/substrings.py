@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, mix, prefix_sums, shared_dir, slices, spans, stored, tuned, utf8
+from .common import frugal, list_column, mix, prefix_sums, shared_dir, slices, spans, stored, tuned, utf8
 
 LENGTH = 100
 Q = 32
@@ -77,6 +77,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, q: int = Q)
 def _census(docs: DataFrame) -> DataFrame:
     """bucket, context, id, place of every run; place packs first window, count and anchor."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             raw, offsets = utf8(b.column(1))
@@ -99,6 +100,7 @@ def _ranked(census: DataFrame) -> DataFrame:
     kind = census.schema["id"].dataType.simpleString()
     dealt = census.repartition("bucket").sortWithinPartitions("bucket", "context", "id", "place")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # bucket, context
         several = False  # the last bucket has more than one context
@@ -148,6 +150,7 @@ def _contexts(text: DataFrame, firsts: DataFrame) -> DataFrame:
     src = text.join(grouped, "id").select("id", "text", "buckets", "places")
     kind = text.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             blobs, rows, buckets, places = [], [], [], []
@@ -195,6 +198,7 @@ def _sorted_buckets(contexts: DataFrame) -> DataFrame:
     kind = contexts.schema["id"].dataType.simpleString()
     dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "id", "place")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         seen, seen_of = np.zeros(0, np.uint64), None
@@ -274,6 +278,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = whole.unionByName(compared).groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
     kind = src.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             cols: list[list] = [[], [], []]

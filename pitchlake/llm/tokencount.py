@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, texts, tuned
+from .common import frugal, shared_dir, slices, texts, tuned
 from .tokenizing import WordTable, load, tokenizer_file, version_digest
 
 CACHE = "content string, tokenizer string, n_tokens long"
@@ -24,6 +24,7 @@ def _table(path: str) -> WordTable:
 def counted(texts_df: DataFrame, path: str) -> DataFrame:
     """content, n_tokens of rows (content, text)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, library = _table(path), load(path)
         for batch in slices(batches, "text"):
@@ -32,6 +33,7 @@ def counted(texts_df: DataFrame, path: str) -> DataFrame:
             table.learn(lists)
             n = [len(library.encode(t, add_special_tokens=False).ids) if w is None else sum(map(table.__getitem__, w)) for t, w in zip(every, lists, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["content", "n_tokens"])
+        table.clear()
 
     return texts_df.select("content", "text").mapInArrow(run, "content string, n_tokens long")
 

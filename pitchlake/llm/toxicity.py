@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, stored, texts, tuned
+from .common import frugal, list_column, stored, texts, tuned
 from .linear import Scaled, logistic, sigmoid
 
 #: Labelled rows that voters, label model and classifier are fitted on, at most.
@@ -92,6 +92,7 @@ class Voters:
 def _counter(src: DataFrame, of) -> DataFrame:
     """entry, n: in how many rows of the partition of returns it, summed over all."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
     halves = [Voters(mine(sample.where(F.col("half") != i))) for i in (0, 1)]
     width = len(voters("")[1])
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -218,6 +220,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     model = fit(docs, labels)
     src = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.scores(texts(b.column(2))), pa.float64())], ["doc_id", "held_out", "score"])

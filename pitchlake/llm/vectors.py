@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tuned
+from .common import frugal, stored, tuned
 from .components import Forest, components
 
 COSINE = 0.98
@@ -95,6 +95,7 @@ def _placed(classes: DataFrame, axes: dict[int, np.ndarray], eps: float) -> Data
     kind = classes.schema["id"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -131,6 +132,7 @@ def _joined(placed: DataFrame, axes: dict[int, np.ndarray], eps: float, cosine:
     rows = rows.select("key", F.xxhash64("key").alias("h"), "part", "id", "n", "packed").repartition("h").sortWithinPartitions("h", "key")
     kind = placed.schema["id"].dataType.simpleString()
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
             key = held[0][0]
