@@ -641,7 +641,10 @@ def _admitted(spark, sf):
     return harvest.admission(v(spark, sf, "candidates"), v(spark, sf, "manifest"), "id", per_channel=12, target=200)
 
 
-@query()
+_REASONS = ("seen", "unresolvable", "license", "off_topic", "too_short", "channel_cap", "kept")
+
+
+@query(f"SELECT count(*) AS candidates, {', '.join(f"count(*) FILTER (WHERE reason = '{r}') AS {r}" for r in _REASONS)} FROM ({ORACLES['harvest_admission']})")
 def harvest_counters(spark, sf):
     return harvest.counters(_admitted(spark, sf))
 
