@@ -38,7 +38,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     Nothing is shuffled; a lost task is recomputed from its own rows.
     """
     path = tokenizer_file(tokenizer)
-    spark = tuned(docs.sparkSession)
+    tuned(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     @frugal
@@ -63,7 +63,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
-    return spark and out.withColumnRenamed("id", id_col)
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = "word_bpe_49k.json") -> DataFrame:

@@ -179,7 +179,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     others, without being expanded into pairs. Rows that repeat an id count once (the
     smallest label and vector), null ids are left out, extra columns are ignored.
     """
-    spark = tuned(rows.sparkSession)
+    tuned(rows.sparkSession)
     eps = math.sqrt(2 - 2 * cosine) + 1e-9
     once = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))).alias("s")).select("id", "s.*")
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -196,7 +196,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     found = stored(_joined(_placed(classes, axes, eps), axes, eps, cosine), "vector-links")
     totals = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     reached = components(found.where("b is not null").select("a", "b"), "vectors").select(F.col("id").alias("rep"), "component")
-    out = spark and member.join(totals, "rep", "left").join(reached, "rep", "left")
+    out = member.join(totals, "rep", "left").join(reached, "rep", "left")
     return out.select(
         F.col("id").alias(id_col),
         (F.coalesce("w", F.lit(0)) + F.coalesce(F.col("n") - 1, F.lit(0))).cast("long").alias("n_links"),
