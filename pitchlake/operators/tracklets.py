@@ -28,6 +28,22 @@ def slot_grid(present: DataFrame, n_slots: int, frames: int, defaults: dict[str,
     return j.select("slot", "frame", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in defaults.items()), F.coalesce("mask", F.lit(0)).alias("mask"))
 
 
+def lane_grid(rows: DataFrame, team: str, track: str, frame: str, defaults: dict[str, float], most: int = 13) -> DataFrame:
+    """team, slot, frame, the columns of defaults, mask: each team's slots 1..most over the whole frame range of rows.
+
+    Slots are the team's longest tracks; a slot without a row in a frame, or with a null
+    value there, has the defaults and mask 0. Of several rows the smallest values count.
+    """
+    low, high = rows.agg(F.min(frame), F.max(frame)).first()
+    frames = rows.sparkSession.range(low or 0, 0 if high is None else high + 1).withColumnRenamed("id", frame)
+    lanes = slots(rows, team, track, most).where("slot > 0").select(team, track, "slot")
+    values = F.min(F.struct(*defaults)).alias("_v")
+    present = rows.dropna(subset=[frame, *defaults]).join(lanes, [team, track]).groupBy(team, "slot", frame).agg(values)
+    grid = frames.crossJoin(F.broadcast(rows.select(team).dropna().distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(most))))))
+    j = grid.join(present, [team, "slot", frame], "left")
+    return j.select(team, "slot", frame, *(F.coalesce(f"_v.{c}", F.lit(v)).alias(c) for c, v in defaults.items()), F.col("_v").isNotNull().cast("int").alias("mask"))
+
+
 def best_class(scores: Column) -> tuple[Column, Column]:
     """Index (the first of equal ones) and value of the highest score."""
     top = F.array_max(scores)

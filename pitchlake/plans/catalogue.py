@@ -540,6 +540,12 @@ def slot_grid(spark, sf):
     return tracklets.slot_grid(p, 26, 200, {"x": 50.0, "y": 50.0})
 
 
+@query()
+def lane_grid(spark, sf):
+    p = v(spark, sf, "players").join(v(spark, sf, "teams"), "track").select("team", "track", "frame", F.col("fx").alias("x"), F.col("fy").alias("y"))
+    return tracklets.lane_grid(p, "team", "track", "frame", {"x": 50.0, "y": 50.0})
+
+
 @query("""{class_scores}, e AS (SELECT slot, frame, unnest(scores) AS s, generate_subscripts(scores, 1) - 1 AS i FROM class_scores),
 x AS (SELECT slot, frame, i, exp(s - max(s) OVER (PARTITION BY frame)) AS e FROM e),
 p AS (SELECT slot, frame, CAST(i AS INTEGER) AS cls, round(e / sum(e) OVER (PARTITION BY frame), 9) AS score, row_number() OVER (PARTITION BY frame ORDER BY e DESC, i) AS rn FROM x),

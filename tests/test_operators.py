@@ -259,3 +259,13 @@ def test_two_teams(spark):
     out = {r.track: r.team for r in identity.two_teams(m, ["track"]).collect()}
     assert len(set(out.values())) == 2 and len({out[i] for i in range(4)}) == 1
     assert [r.team for r in identity.two_teams(m.limit(1), ["track"]).collect()] == ["team_a"]
+
+
+def test_lane_grid_covers_all_frames_and_ranked_lanes(spark):
+    seen = [("a", 900, f, float(f)) for f in (3, 250, 999)] + [("a", 7, 3, 1.0), ("a", 7, 4, None), ("a", 500, 5, 6.0), ("b", 40, 300, 2.0)]
+    rows = spark.createDataFrame(seen, "team string, track long, frame long, x double")
+    got = {(r.team, r.slot, r.frame): (r.x, r.mask) for r in tracklets.lane_grid(rows, "team", "track", "frame", {"x": 50.0}, 2).collect()}
+    assert set(got) == {(t, s, f) for t in "ab" for s in (1, 2) for f in range(3, 1000)}
+    assert {k: x for k, (x, m) in got.items() if m} == {("a", 1, 3): 3.0, ("a", 1, 250): 250.0, ("a", 1, 999): 999.0, ("a", 2, 3): 1.0, ("b", 1, 300): 2.0}
+    assert {x for x, m in got.values() if not m} == {50.0}
+    assert tracklets.lane_grid(rows.limit(0), "team", "track", "frame", {"x": 50.0}).collect() == []
