@@ -2,7 +2,8 @@
 
 Q-gram lemma: a string within k edits of a window of W characters shares at least
 W + 1 - q - k*q of its q-grams, on diagonals that differ by at most k. Shared q-grams
-are counted in overlapping diagonal bands, bands that reach the bound are aligned.
+of an item are sorted by place in overlapping diagonal bands; wherever a stretch of W
+characters reaches the bound, the windows that hold it are aligned.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 from .common import frugal, list_column, powers, slices, tuned, utf8
 
 Q = 12
-#: Windows of an item in normalised bytes, and how far apart they start.
-WINDOW, STRIDE = 80, 20
+#: Windows of an item in normalised bytes; one starts at each position.
+WINDOW = 80
 #: Edits allowed, as a share of a window.
 EDIT_RATE = 0.06
-#: Items with fewer normalised bytes are too short to tell and never match.
+#: Items with fewer normalised bytes match only verbatim, as whole words; those under Q are too short to tell and never match.
 MIN_BYTES = 40
+#: Windows that are aligned at once.
+_AT_ONCE = 512
 #: Normalised benchmark bytes that are searched for at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 22
@@ -76,38 +79,38 @@ def _grams(norm: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of the windows of a block of items."""
+    """Q-grams of a block of items, and what a window of each may differ by."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.windows: list[tuple[int, bytes, int, int]] = []  # item, bytes, edits, least shared q-grams
-        grams, owner, place = [], [], []
+        self.items: list[int] = []
+        blobs: list[np.ndarray] = []
+        bounds: list[tuple[int, int, int]] = []  # window, edits, least shared q-grams
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             norm, _ = normalised(raw, np.array([0, len(raw)]))
-            blob = norm.tobytes().rstrip(b" ")
-            if len(blob) < MIN_BYTES:
+            blob = np.frombuffer(norm.tobytes().rstrip(b" "), np.uint8)
+            if len(blob) < Q:
                 continue
-            last = max(0, len(blob) - WINDOW)
-            for start in sorted({*range(0, last, STRIDE), last}):
-                part = blob[start : start + WINDOW]
-                k = int(EDIT_RATE * len(part))
-                need = len(part) + 1 - Q - k * Q
-                while need < 1:  # a shorter window bears fewer edits
-                    k -= 1
-                    need += Q
-                self.windows.append((item, part, k, need))
-                g = _grams(np.frombuffer(part, np.uint8))
-                grams.append(g)
-                owner.append(np.full(len(g), len(self.windows) - 1))
-                place.append(np.arange(len(g)))
-        none = np.zeros(0, np.int64)
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            size = min(len(blob), WINDOW)
+            k = int(EDIT_RATE * size) if size >= MIN_BYTES else 0
+            need = size + 1 - Q - k * Q
+            while need < 1:  # a shorter window bears fewer edits
+                k -= 1
+                need += Q
+            self.items.append(item)
+            blobs.append(blob)
+            bounds.append((size, k, need))
+        self.blobs = blobs
+        self.size, self.edits, self.need = np.array(bounds, np.int64).reshape(-1, 3).T
+        self.length = np.array([len(b) for b in blobs], np.int64)
+        n = self.length + 1 - Q
+        g = np.concatenate([_grams(b) for b in blobs]) if blobs else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(blobs)), n)
+        place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
         order = np.argsort(g, kind="stable")
-        self.keys, self.owner, self.place = g[order], (np.concatenate(owner) if grams else none)[order], (np.concatenate(place) if grams else none)[order]
+        self.keys, self.owner, self.place = g[order], owner[order], place[order]
         self.bits = np.zeros(1 << _TABLE_BITS, bool)
         self.bits[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
-        self.edits = np.array([w[2] for w in self.windows], np.int64)
-        self.need = np.array([w[3] for w in self.windows], np.int64)
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) of texts that have a region within the edits of a window."""
@@ -126,33 +129,88 @@ class Index:
             return []
         rows = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         pos, doc = np.repeat(at, n), np.repeat(doc, n)
-        win, diagonal = self.owner[rows], pos - self.place[rows]
+        own, place = self.owner[rows], self.place[rows]
         # bands of 2k+2 diagonals that overlap by half: any k+1 neighbours lie in one of them
-        width = self.edits[win] + 1
-        band = (diagonal + 2 * width) // width
-        win, band, pos, doc = np.tile(win, 2), np.concatenate([band, band - 1]), np.tile(pos, 2), np.tile(doc, 2)
-        gram = np.tile(rows, 2)
-        order = np.lexsort((gram, band, win, doc))
-        win, band, pos, doc, gram = (x[order] for x in (win, band, pos, doc, gram))
-        new = np.ones(len(win), bool)
-        new[1:] = (win[1:] != win[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])
+        band = (pos - place) // (self.edits[own] + 1)
+        own, band, place, doc = np.tile(own, 2), np.concatenate([band, band - 1]), np.tile(place, 2), np.tile(doc, 2)
+        order = np.lexsort((place, band, own, doc))
+        own, band, place, doc = (x[order] for x in (own, band, place, doc))
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (band[1:] != band[:-1]) | (doc[1:] != doc[:-1])
+        group = np.cumsum(new)
         first = new.copy()
-        first[1:] |= gram[1:] != gram[:-1]  # a q-gram of the window counts once
-        start = np.flatnonzero(new)
-        shared = np.add.reduceat(first.astype(np.int64), start)
+        first[1:] |= place[1:] != place[:-1]  # a q-gram of the item counts once
+        own, band, place, doc, group = (x[first] for x in (own, band, place, doc, group))
+        # from each q-gram on, the bound's number of them within one window
+        last = np.arange(len(own)) + self.need[own] - 1
+        i = np.flatnonzero(last < len(own))
+        i = i[(group[last[i]] == group[i]) & (place[last[i]] - place[i] <= self.size[own[i]] - Q)]
+        if not len(i):
+            return []
+        begin = np.maximum(0, place[last[i]] + Q - self.size[own[i]])
+        end = np.minimum(place[i], self.length[own[i]] - self.size[own[i]])
         found: set[tuple[int, int]] = set()
-        for i in start[shared >= self.need[win[start]]].tolist():
-            item, part, k, _ = self.windows[win[i]]
-            d = int(doc[i])
-            if (d, item) in found:
+        cuts = np.flatnonzero(np.diff(group[i])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
+            d, o = int(doc[i[a]]), int(own[i[a]])
+            if (d, self.items[o]) in found:
                 continue
-            left = int(band[i] * (k + 1) - 2 * (k + 1))  # the band's first diagonal
-            begin, end = max(int(off[d]), left - k), min(int(off[d + 1]), left + 2 * (k + 1) + len(part) + k)
-            region = norm[begin:end].tobytes()
-            if part in region or aligned(part, region, left - begin, 2 * (k + 1), k):
-                found.add((d, item))
+            wanted = np.zeros(self.length[o] + 2, np.int64)
+            np.add.at(wanted, begin[a:b], 1)
+            np.add.at(wanted, end[a:b] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(wanted) > 0)
+            if self._near(o, starts, norm, int(off[d]), int(off[d + 1]), int(band[i[a]])):
+                found.add((d, self.items[o]))
         return sorted(found)
 
+    def _near(self, o: int, starts: np.ndarray, norm: np.ndarray, low: int, high: int, band: int) -> bool:
+        """Whether a window of item o at one of starts is near a region of norm[low:high] in the band."""
+        size, k, blob = int(self.size[o]), int(self.edits[o]), self.blobs[o]
+        left = band * (k + 1)  # the band's first diagonal
+        if len(blob) < MIN_BYTES:
+            item, text = blob.tobytes(), norm[low:high].tobytes()
+            bounds = range(max(left - low, 0), left - low + 2 * (k + 1))
+            return any(text.startswith(item, x) and not _word(text[x - 1 : x]) and not _word(text[x + size : x + size + 1]) for x in bounds)
+        middle = int(starts[len(starts) // 2])
+        part = blob[middle : middle + size].tobytes()
+        if part in norm[max(low, left + middle) : min(high, left + 2 * (k + 1) + middle + size)].tobytes():
+            return True
+        return any(windows_aligned(blob, starts[x : x + _AT_ONCE], size, norm, low, high, left, 2 * (k + 1), k) for x in range(0, len(starts), _AT_ONCE))
+
+
+def _word(byte: bytes) -> bool:
+    return byte not in (b"", b" ")
+
+
+def windows_aligned(item: np.ndarray, starts: np.ndarray, size: int, norm: np.ndarray, low: int, high: int, first: int, width: int, k: int) -> bool:
+    """Whether a window of item at one of starts is within k edits of a substring of norm[low:high] from one of width diagonals.
+
+    As aligned(), for all windows at once; a diagonal is a place in norm less one in item.
+    """
+    step = np.arange(width + 2 * k)
+    diagonal = first - k + step
+    big = k + 1
+    at = starts[:, None] + diagonal
+    row = np.where((step >= k) & (step < k + width) & (at >= low) & (at <= high), 0, big)
+    for i in range(size):
+        best = np.full(row.shape, big)
+        inside = (at >= low) & (at < high)
+        differs = norm[np.clip(at, low, high - 1)] != item[starts + i][:, None]
+        best[inside] = (row + differs)[inside]
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # the item's byte is left out
+        at = at + 1
+        outside = (at < low) | (at > high)
+        best[outside] = big
+        best = np.minimum.accumulate(best - step, axis=1) + step  # a byte of norm is left out
+        best[outside] = big
+        row = np.minimum(best, big)
+        near = row.min(1) <= k
+        if not near.all():
+            row, at, starts = row[near], at[near], starts[near]
+            if not len(starts):
+                return False
+    return True
+
 
 def aligned(part: bytes, region: bytes, first: int, width: int, k: int) -> bool:
     """Whether part is within k edits of some substring of region that starts at one of width diagonals from first.
@@ -195,9 +253,10 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
     """One row per input row: id, contaminated boolean, n_items long, items array<long> (ascending).
 
-    A document matches an item if a window of the item's normal form (WINDOW bytes, or
-    the whole item if shorter) is within EDIT_RATE edits of one of its regions. Null and
-    empty texts match nothing; null or short items are matched by nothing. Repeated rows
+    A document matches an item if a window of the item's normal form (WINDOW bytes from
+    any position, or the whole item if shorter) is within EDIT_RATE edits of one of its
+    regions. Items under MIN_BYTES match only verbatim, between word ends. Null and empty
+    texts match nothing; null items and those under Q bytes are matched by nothing. Repeated rows
     and ids stay; extra columns are left out. Nothing is shuffled. Item ids are integers.
     """
     spark = tuned(docs.sparkSession)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pitchlake.llm import decontam
 
 
@@ -76,3 +78,43 @@ def test_band_alignment_against_full_alignment():
             rng.choice([lambda: copy.__setitem__(at, 120), lambda: copy.insert(at, 121), lambda: copy.__delitem__(at)])()
         region = bytes(rng.choices(b"wxyz", k=6)) + bytes(copy) + bytes(rng.choices(b"wxyz", k=6))
         assert decontam.aligned(part, region, 3, 8, 4) == within(part, region, 4)
+
+
+def test_excerpts_at_all_offsets(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("aeinorst", k=rng.randint(2, 9))) for _ in range(n))
+    item = prose(60)
+    docs = [prose(9) + "qq" + item[s : s + 80] + "zz" + prose(9) for s in range(len(item) - 79)]
+    for s in range(0, len(item) - 79, 7):  # and with four edits each
+        part = list(item[s : s + 80])
+        part[20], part[40] = "x", "y"
+        del part[60]
+        part.insert(30, "w")
+        docs.append(prose(5) + "qq" + "".join(part) + "zz" + prose(5))
+    got = decontam.matches(*frames(spark, [item], docs)).collect()
+    assert [r.doc_id for r in got if not r.contaminated] == []
+
+
+def test_windows_against_full_alignment():
+    rng = random.Random(5)
+    found = 0
+    for _ in range(150):
+        item = bytes(rng.choices(b"abcdefgh", k=150))
+        s, n, e = rng.randrange(60), rng.randint(76, 90), rng.randint(0, 6)
+        copy = bytearray(item[s : s + n])
+        for _ in range(e):
+            at = rng.randrange(len(copy))
+            rng.choice([lambda: copy.__setitem__(at, 120), lambda: copy.insert(at, 121), lambda: copy.__delitem__(at)])()
+        doc = bytes(rng.choices(b"wxyz", k=9)) + bytes(copy) + bytes(rng.choices(b"wxyz", k=9))
+        want = any(within(item[x : x + 80], doc, 4) for x in range(max(0, s - 8), min(71, s + 16)))
+        index = decontam.Index([(3, item.decode())])
+        assert bool(index.search(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]))) == want
+        found += want
+    assert 30 < found < 150
+
+
+def test_short_items_match_verbatim(spark):
+    items = ["Name the largest moon", "of the cat"]
+    docs = ["quiz: name the LARGEST moon?", "name the largest moons", "rename the largest moon", "name the larger moon", "of the cat"]
+    got = decontam.matches(*frames(spark, items, docs)).collect()
+    assert {r.doc_id: r["items"] for r in got} == {0: [0], 1: [], 2: [], 3: [], 4: []}
