@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, list_column, stored, tuned
-from .linear import Scaled, logistic, sigmoid
+from .linear import Scaled, logistic, loss_sums, newton, sigmoid
 
-#: Labelled rows and unlabelled documents that the two views are fitted on, at most.
-MAX_LABELLED, MAX_POOL = 50_000, 20_000
+#: Labelled rows that the two views are fitted on, at most; of the unlabelled documents all take part.
+MAX_LABELLED = 50_000
+#: A view labels documents for the other beyond this logit (probability 0.95), by bins of logits.
+SURE = math.log(19)
+_EDGES = SURE + np.arange(4096) * 0.01
 #: Documents below this calibrated probability of being good are rejected.
 THRESHOLD = 0.1
 LANG_SLOTS, SOURCE_SLOTS = 8, 32
@@ -90,35 +93,128 @@ def views(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return src.mapInArrow(run, f"id {kind}, content array<double>, meta array<double>")
 
 
+def _replayed(a: np.ndarray, b: np.ndarray, history: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are still free after the rounds of history, and the labels given to each view (nan: none)."""
+    free = np.ones(len(a), bool)
+    marks = np.full(len(a), np.nan), np.full(len(a), np.nan)
+    for wa, ta, wb, tb in history:
+        za, zb = a @ wa, b @ wb
+        by_a, by_b = free & (np.abs(za) >= ta), free & (np.abs(zb) >= tb)
+        marks[1][by_a] = za[by_a] > 0
+        marks[0][by_b] = zb[by_b] > 0
+        free &= ~(by_a | by_b)
+    return free, *marks
+
+
+def _moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows, means and summed squares about them, of both views' columns."""
+    x = np.hstack([a, b])
+    mean = x.mean(0)
+    return np.concatenate([[len(x)], mean, ((x - mean) ** 2).sum(0)])
+
+
+def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    m = len(x) // 2
+    n, d = x[0] + y[0], y[1 : m + 1] - x[1 : m + 1]
+    return np.concatenate([[n], x[1 : m + 1] + d * y[0] / n, x[m + 1 :] + y[m + 1 :] + d * d * x[0] * y[0] / n])
+
+
+def _threshold(counts: np.ndarray, quota: int) -> float:
+    """The least edge beyond which at most quota rows lie (those of one bin at least); infinite without rows."""
+    beyond = counts[::-1].cumsum()[::-1]
+    if not beyond[0]:
+        return math.inf
+    fits = np.flatnonzero((beyond > 0) & (beyond <= quota))
+    return float(_EDGES[fits[0] if len(fits) else np.flatnonzero(beyond)[-1]])
+
+
+class Pool:
+    """Stored views of documents, in passes that reduce each task's rows to one array of sums."""
+
+    def __init__(self, view: DataFrame):
+        self.view = view
+
+    def over(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray], merge=np.add, known: bool = False) -> np.ndarray | None:
+        """f of the unlabelled rows (with known, of all rows) of each batch, merged; None without rows."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    one = f(*_matrices(batch))
+                    total = one if total is None else merge(total, one)
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        src = self.view if known else self.view.where("not known")
+        total = None
+        for r in src.select("content", "meta").mapInArrow(run, "sums binary").collect():
+            one = np.frombuffer(r.sums)
+            total = one if total is None else merge(total, one)
+        return total
+
+
+def _matrices(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for name, width in (("content", len(content_features(""))), ("meta", len(meta_features(None, None, None)))):
+        column = rows.column(name)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        out.append(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+    return out[0], out[1]
+
+
 class CoTrained:
     """Two classifiers that taught each other, their calibrations and the combination."""
 
-    def __init__(self, xa: np.ndarray, xb: np.ndarray, y: np.ndarray, ua: np.ndarray, ub: np.ndarray, rounds: int = 5, per_round: float = 0.1):
+    def __init__(self, xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = 5, per_round: float = 0.1):
         both = len(set(y.tolist())) == 2
         self.prior = float(y.mean()) if len(y) else 1.0
         self.fitted = both and len(y) >= 20
         if not self.fitted:
             return
-        self.sa, self.sb = Scaled(np.vstack([xa, ua])), Scaled(np.vstack([xb, ub]))
+        n, *rest = np.split(pool.over(_moments, _merged, known=True), [1, 1 + xa.shape[1] + xb.shape[1]])
+        (ma, mb), (va, vb) = (np.split(x, [xa.shape[1]]) for x in rest)
+        self.sa, self.sb = sa, sb = Scaled(mean=ma, sd=np.sqrt(va / n)), Scaled(mean=mb, sd=np.sqrt(vb / n))
         fold = np.arange(len(y)) % 5 == 4  # held back for the calibration
-        la, lb, t = xa[~fold], xb[~fold], y[~fold].astype(float)
-        extra = [np.zeros(0, int), np.zeros(0, int)]  # pool rows labelled for the other view
-        marks = [np.zeros(0), np.zeros(0)]
-        free = np.ones(len(ua), bool)
+        la, lb, t = sa(xa[~fold]), sb(xb[~fold]), y[~fold].astype(float)
+        history: list[tuple] = []  # both models of a round and the logits from which they labelled
+        self.pool_rows = self.exchanged = 0
+        w = [np.zeros(la.shape[1]), np.zeros(lb.shape[1])]
+        cut = 2 + la.shape[1] + la.shape[1] ** 2
         for r in range(rounds + 1):
-            self.wa = logistic(self.sa(np.vstack([la, ua[extra[0]]])), np.concatenate([t, marks[0]]))
-            self.wb = logistic(self.sb(np.vstack([lb, ub[extra[1]]])), np.concatenate([t, marks[1]]))
-            if r == rounds or not free.any():
+
+            def sums(trial: list[np.ndarray], history=tuple(history)) -> list[np.ndarray]:
+                def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    a, b = sa(a), sb(b)
+                    _, for_a, for_b = _replayed(a, b, history)
+                    return np.concatenate([loss_sums(x[m >= 0], m[m >= 0], v) for x, m, v in ((a, for_a, trial[0]), (b, for_b, trial[1]))])
+
+                own = [loss_sums(la, t, trial[0]), loss_sums(lb, t, trial[1])]
+                if history and (more := pool.over(of)) is not None:
+                    own = [x + z for x, z in zip(own, np.split(more, [cut]), strict=True)]
+                return own
+
+            w = newton(sums, w)
+            if r == rounds:
                 break
-            rows = np.flatnonzero(free)
-            for mine, x, w, s in ((0, ua, self.wa, self.sa), (1, ub, self.wb, self.sb)):
-                p = sigmoid(s(x[rows]) @ w)
-                sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: int(per_round * len(ua))]
-                sure = sure[np.abs(p[sure] - 0.5) > 0.45]
-                other = 1 - mine
-                extra[other] = np.concatenate([extra[other], rows[sure]])
-                marks[other] = np.concatenate([marks[other], (p[sure] > 0.5).astype(float)])
-                free[rows[sure]] = False
+
+            def confident(a: np.ndarray, b: np.ndarray, history=tuple(history), w=tuple(w)) -> np.ndarray:
+                a, b = sa(a), sb(b)
+                free = _replayed(a, b, history)[0]
+                bins = [np.minimum(((np.abs(x[free] @ v) - SURE) / 0.01 // 1).astype(int), len(_EDGES) - 1) for x, v in ((a, w[0]), (b, w[1]))]
+                return np.concatenate([[len(a)], *(np.bincount(i[i >= 0], minlength=len(_EDGES)) for i in bins)]).astype(float)
+
+            counts = pool.over(confident)
+            if counts is None:
+                break
+            self.pool_rows = int(counts[0])
+            by_a, by_b = np.split(counts[1:], 2)
+            edges = [_threshold(c, int(per_round * self.pool_rows)) for c in (by_a, by_b)]
+            if min(edges) == math.inf:
+                break
+            self.exchanged += int(sum(c[_EDGES >= e].sum() for c, e in zip((by_a, by_b), edges, strict=True)))
+            history.append((w[0], edges[0], w[1], edges[1]))
+        self.wa, self.wb = w
         held = np.stack([self.sa(xa[fold]) @ self.wa, self.sb(xb[fold]) @ self.wb], 1)
         self.ca, self.cb = (logistic(np.stack([np.ones(len(held)), held[:, i]], 1), y[fold].astype(float), ridge=1e-4) for i in (0, 1))
         self.combine = logistic(self._calibrated(held), y[fold].astype(float), ridge=1e-3)
@@ -134,17 +230,26 @@ class CoTrained:
         return np.stack([sigmoid(c @ self.combine), sigmoid(c[:, 1]), sigmoid(c[:, 2])], 1)
 
 
-def fit(view: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> CoTrained:
-    """Fits on at most max_labelled labelled rows and max_pool others, those of the smallest hashes."""
-    lab = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").orderBy(F.xxhash64("id", F.lit(8)), "y").limit(max_labelled)
-    known = view.join(F.broadcast(lab), "id").select("id", "content", "meta", "y").orderBy(F.xxhash64("id", F.lit(9)), "y").limit(max_labelled).toArrow()
-    pool = view.select("id", "content", "meta").orderBy(F.xxhash64("id", F.lit(10))).limit(max_pool).toArrow()
+def _sample(labels: DataFrame, label_col: str, max_labelled: int) -> DataFrame:
+    """id, y of the labels of the smallest hashes."""
+    return labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").orderBy(F.xxhash64("id", F.lit(8)), "y").limit(max_labelled)
+
 
-    def matrix(t: pa.Table, name: str, width: int) -> np.ndarray:
-        return t.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+def prepared(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The stored views with known: whether a row has one of the labels that are fitted on."""
+    ids = _sample(labels, label_col, max_labelled).select("id").distinct().withColumn("_known", F.lit(True))
+    return stored(views(docs).join(F.broadcast(ids), "id", "left").select("id", "content", "meta", F.coalesce("_known", F.lit(False)).alias("known")), "quality")
 
-    wa, wb = len(content_features("")), len(meta_features(None, None, None))
-    return CoTrained(matrix(known, "content", wa), matrix(known, "meta", wb), known.column("y").to_numpy(), matrix(pool, "content", wa), matrix(pool, "meta", wb))
+
+def fit(view: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fits prepared views on at most max_labelled labelled rows, those of the smallest hashes, and on all others.
+
+    The two views exchange labels over all rows without a label, and features are scaled
+    by the figures of all rows: each step is a pass of Spark that returns sums.
+    """
+    lab = _sample(labels, label_col, max_labelled)
+    known = view.where("known").join(F.broadcast(lab), "id").select("id", "content", "meta", "y").orderBy(F.xxhash64("id", F.lit(9)), "y").limit(max_labelled).toArrow()
+    return CoTrained(*_matrices(known), known.column("y").to_numpy(), Pool(view))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality") -> DataFrame:
@@ -156,7 +261,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
     Repeated rows and ids stay. Texts are read once; their few figures go to the shared
     folder and models and scores come from there.
     """
-    view = stored(views(docs), "quality")
+    view = prepared(docs, labels, label_col)
     model = fit(view, labels, label_col)
 
     @frugal
@@ -168,12 +273,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, i]) for i in range(3)), pa.array(s[:, 0] >= threshold)], ["doc_id", "score", "content_score", "meta_score", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return view.mapInArrow(run, f"doc_id {kind}, score double, content_score double, meta_score double, kept boolean")
+    return view.drop("known").mapInArrow(run, f"doc_id {kind}, score double, content_score double, meta_score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
-    model = fit(stored(views(docs), "quality"), labels)
+    model = fit(prepared(docs, labels), labels)
 
     @F.pandas_udf("double")
     def good(text, lang, source, size):

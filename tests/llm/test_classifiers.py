@@ -3,9 +3,13 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pitchlake.llm import quality, toxicity
+from pitchlake.llm.common import stored
+from pitchlake.llm.linear import logistic, loss_sums, newton
 
 WORDS = "anan ther ingon tion eraea shwh onbleth reha stedor andin thely forwh".split()
 
@@ -67,3 +71,27 @@ def test_without_labels(spark, data):
     assert {r.predicted for r in toxicity.score(few, lab.limit(0)).collect()} == {0}
     assert quality.score(d.limit(0), lab).collect() == [] and toxicity.score(d.limit(0), lab).collect() == []
     assert quality.keep_good(few.drop("lang", "source", "n_chars"), lab).count() <= 5
+
+
+def test_quality_exchanges_over_all_unlabelled_rows(spark):
+    """More rows than a bounded pool of 20,000 would hold: figures and labels come from each of them."""
+    n, wide = 30_000, len(quality.content_features(""))
+    good = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) > 2
+    noise = lambda i: F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0
+    content = F.array(*(noise(i) + F.when(good, 1.5).otherwise(0.0) * int(i == 20) for i in range(20, 20 + wide)))
+    meta = F.array(*(noise(i) + F.when(good, 1.5).otherwise(0.0) * int(i == 50) for i in range(50, 50 + len(quality.meta_features(None, None, None)))))
+    rows = spark.range(n).select("id", content.alias("content"), meta.alias("meta"), (F.col("id") < 400).alias("known"), good.cast("int").alias("quality"))
+    view = stored(rows.drop("quality"), "test")
+    model = quality.fit(view, rows.where("known").select(F.col("id").alias("doc_id"), "quality"))
+    every = np.array([r.content for r in view.select("content").collect()])
+    assert np.allclose(model.sa.mean, every.mean(0)) and np.allclose(model.sa.sd, every.std(0))
+    assert model.pool_rows == n - 400 and model.exchanged > 20_000
+
+
+def test_newton_on_sums_is_the_plain_fit():
+    rng = np.random.default_rng(4)
+    x = np.hstack([np.ones((500, 1)), rng.normal(size=(500, 4))])
+    y = (x @ [0.2, 1, -2, 0, 0.5] + rng.logistic(size=500) > 0).astype(float)
+    parts = lambda w: [loss_sums(x[:200], y[:200], w[0]) + loss_sums(x[200:], y[200:], w[0])]
+    for start in (np.zeros(5), np.array([9.0, -9, 9, 9, -9])):
+        assert np.allclose(newton(parts, [start])[0], logistic(x, y), atol=1e-6)
