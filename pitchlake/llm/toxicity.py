@@ -22,8 +22,8 @@ from .linear import Scaled, logistic, sigmoid
 
 #: Labelled rows that voters, label model and classifier are fitted on, at most.
 MAX_LABELLED = 50_000
-#: Lexicon entries that are mined from them, at most.
-MAX_LEXICON = 20_000
+#: Toxic rows that a lexicon entry stands in, and its log-odds, at least.
+LEAST_ROWS, LEAST_ODDS = 3, 4.0
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
 SEED_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "garbage", "filthy", "hate", "kill", "shut")
@@ -89,40 +89,47 @@ class Voters:
         return votes, figures
 
 
-def _counter(src: DataFrame, of) -> DataFrame:
-    """entry, n: in how many rows of the partition of returns it, summed over all."""
+def _counts(sample: DataFrame) -> DataFrame:
+    """entry, c00, c01, c10, c11: in how many rows of each half and y it stands."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["entry", "n"])
+            keys = list(total)
+            return pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.string()), pa.array([k[0] for k in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], ["entry", "slot", "n"])
 
         for b in batches:
-            for t in texts(b.column(0)):
-                total.update(of(t))
+            for t, y, half in zip(texts(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                slot = 2 * half + y
+                total.update((slot, e) for e in document_entries(t))
                 if len(total) > 200_000:
                     yield out()
                     total.clear()
         yield out()
 
-    return src.select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+    each = (F.coalesce(F.sum(F.when(F.col("slot") == 2 * h + y, F.col("n"))), F.lit(0)).alias(f"c{h}{y}") for h in (0, 1) for y in (0, 1))
+    return sample.select("text", "y", "half").mapInArrow(run, "entry string, slot int, n long").groupBy("entry").agg(*each)
 
 
-def mine(sample: DataFrame) -> dict[str, float]:
-    """Log-odds of entries that stand in toxic rows far more often; at most MAX_LEXICON, the most frequent."""
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return {}
-    least = max(3, 0.003 * n1)
-    bad = _counter(sample.where("y = 1"), document_entries).where(F.col("n") >= least).orderBy(F.desc("n"), "entry").limit(MAX_LEXICON).collect()
-    wanted = {r["entry"]: r["n"] for r in bad}
-    names = frozenset(wanted)
-    clean = {r["entry"]: r["n"] for r in _counter(sample.where("y = 0"), lambda t: document_entries(t) & names).collect()}
-    odds = {e: math.log((a + 0.5) / (n1 + 1)) - math.log((clean.get(e, 0) + 0.5) / (n0 + 1)) for e, a in wanted.items()}
-    return {e: x for e, x in odds.items() if x > 4.0}
+def mine(sample: DataFrame) -> list[dict[str, float]]:
+    """Log-odds of all entries that stand in toxic rows far more often: of all rows, without half 0, without half 1.
+
+    The test runs in Spark on the counts of both classes; only entries that pass are collected.
+    """
+    sizes = {(r["half"], r["y"]): r["count"] for r in sample.groupBy("half", "y").count().collect()}
+    odds = []
+    for name, halves in (("all", (0, 1)), ("second", (1,)), ("first", (0,))):
+        n1, n0 = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
+        if not n1 or not n0:
+            odds.append(F.lit(None).cast("double").alias(name))
+            continue
+        a, c = (sum((F.col(f"c{h}{y}") for h in halves), F.lit(0)) for y in (1, 0))
+        x = F.log((a + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
+        odds.append(F.when((a >= LEAST_ROWS) & (x > LEAST_ODDS), x).alias(name))
+    rows = _counts(sample).select("entry", *odds).where("`all` is not null or first is not null or second is not null").collect()
+    return [{r["entry"]: r[name] for r in rows if r[name] is not None} for name in ("all", "second", "first")]
 
 
 def label_model(votes: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -188,8 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_labell
     lab = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id"))).orderBy(F.xxhash64("id", F.lit(4)), "y").limit(max_labelled)
     src = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     sample = stored(src.join(F.broadcast(lab), "id").select("text", "y"), "toxicity").dropDuplicates(["text", "y"]).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
-    voters = Voters(mine(sample))
-    halves = [Voters(mine(sample.where(F.col("half") != i))) for i in (0, 1)]
+    voters, *halves = map(Voters, mine(sample))
     width = len(voters("")[1])
 
     @frugal

@@ -95,3 +95,20 @@ def test_newton_on_sums_is_the_plain_fit():
     parts = lambda w: [loss_sums(x[:200], y[:200], w[0]) + loss_sums(x[200:], y[200:], w[0])]
     for start in (np.zeros(5), np.array([9.0, -9, 9, 9, -9])):
         assert np.allclose(newton(parts, [start])[0], logistic(x, y), atol=1e-6)
+
+
+def test_lexicon_keeps_rare_words_beside_many_neutral_ones(spark):
+    neutral = " ".join(a + b + c for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz" for c in "\u00e0\u00e1\u00e2\u00e3\u00e4\u00e5\u00e6\u00e7\u00e8\u00e9\u00ea\u00eb\u00ec\u00ed\u00ee\u00ef\u00f0\u00f1\u00f2\u00f3\u00f4\u00f5\u00f6\u00f8\u00f9\u00fa\u00fb\u00fc\u00fd\u00fe\u00ff")
+    assert len(neutral.split()) > 20_000
+    docs = [(i, f"{neutral} {i}" + " zqvx" * (i % 3 == 0)) for i in range(40)] + [(i, f"{neutral} {i}" if i < 50 else f"anan {i}") for i in range(40, 240)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = d.select("doc_id", (F.col("doc_id") < 40).cast("int").alias("toxic"))
+    assert set(toxicity.fit(d, lab).voters.lexicon) == {"=zqvx"}
+
+
+def test_lexicon_floor_does_not_rise_with_the_sample(spark):
+    few = [i for i in range(0, 18_000, 6) if zlib.crc32(str(i).encode()) % 4 != 2][:6]
+    word = F.when(F.col("id").isin(few), " zqvx").otherwise("")
+    d = spark.range(18_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("anan "), F.col("id").cast("string"), word).alias("text"))
+    lab = d.select("doc_id", (F.col("doc_id") % 6 == 0).cast("int").alias("toxic"))
+    assert set(toxicity.fit(d, lab).voters.lexicon) == {"=zqvx"}
