@@ -270,6 +270,13 @@ def _confirm(sets: list[np.ndarray], percent: int, group: np.ndarray | None = No
     return links
 
 
+def _rank(packed: bytes) -> tuple[int, int, int]:
+    """n_shingles, s1, s2 of a packed set, as signed() gives them."""
+    s = np.frombuffer(packed, np.uint64)
+    with np.errstate(over="ignore"):
+        return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64))
+
+
 def _confirmed(sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
     """Links within each key of rows (key, id, shingles[, component, outer])."""
     kind = sets.schema["id"].dataType.simpleString()
@@ -279,7 +286,12 @@ def _confirmed(sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
         links: list[tuple] = []
 
         def done(rows) -> None:
-            rows = list({r[1]: r for r in rows}.values())  # an id once
+            counted: dict = {}  # an id once, by the set that near_duplicates counts
+            for r in rows:
+                had = counted.setdefault(r[1], r)
+                if had[2] != r[2] and _rank(r[2]) < _rank(had[2]):
+                    counted[r[1]] = r
+            rows = list(counted.values())
             if len(rows) < 2:
                 return
             own = [np.frombuffer(r[2], np.uint64) for r in rows]
@@ -386,7 +398,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't near-duplicates of a smaller id, with all their columns; rows that repeat an id or have none count once or stay."""
-    drop = near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col(id_col))
-    kept = docs.join(drop, id_col, "left_anti").withColumn("_own", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates([id_col, "_own"]).select(*docs.columns)
+    """The rows of docs that aren't near-duplicates of a smaller id, with all their columns.
+
+    Rows without an id stay; rows that repeat an id and its text count once. Unlike texts
+    of one id are documents of their own, in the order of their digests.
+    """
+    named = docs.where(F.col(id_col).isNotNull()).withColumn("_own", F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit("")))
+    unlike = named.groupBy(id_col).agg(F.min("_own").alias("a"), F.max("_own").alias("b")).where("a <> b")
+    key = id_col
+    if not unlike.isEmpty():
+        key = "_key"
+        keys = named.select(id_col, "_own").distinct().orderBy(id_col, "_own").withColumn("_key", F.monotonically_increasing_id())
+        named = named.join(stored(keys, "keys"), [id_col, "_own"])
+    drop = near_duplicates(named, percent, key, text_col).where("not kept").select(key)
+    kept = named.join(drop, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -89,3 +89,17 @@ def test_components(spark, monkeypatch, in_one_task):
                 up[max(x, y)] = min(x, y)
         want = sorted((x, find(x)) for x in up)
         assert sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+
+
+def test_unlike_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 40), ("b", 30), ("c", 20)))
+    rows = [(5, a), (5, b), (5, b), (7, a + " end"), (8, c), (2, b.upper()), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in minhash.keep_one(df).collect()) == sorted([(5, a), (2, b.upper()), (8, c), (0, c)])
+
+
+def test_links_are_confirmed_on_the_counted_text(spark):
+    small, large = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(60))
+    for texts in ((small, large), (large, small)):
+        df = spark.createDataFrame([(1, small + " end"), *((2, t) for t in texts)], "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 80).collect()} == {1: 1, 2: 1}
