@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,29 +37,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, one machine) a folder is made and set."""
+    """spark.checkpoint.dir; where it is unset and all runs on one machine, a folder is made, set, and deleted when the driver ends.
+
+    On a cluster an unset folder is an error: what one executor writes to its own disk the others don't see.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="pitchlake-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master {master})")
+        folder = tempfile.mkdtemp(prefix="pitchlake-")
+        path = "file://" + folder
         spark.conf.set("spark.checkpoint.dir", path)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and its file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; whatever is there when the driver ends is deleted then."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p, fs = file_system(spark, path)
+    fs.mkdirs(p)  # only what exists can be marked
+    fs.deleteOnExit(p)
     return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = scratch(spark, label)
+    df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by stored()."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
+    """Delete the files of a table made by stored() that nothing reads any more."""
     for f in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        p, fs = file_system(df.sparkSession, f)
+        fs.delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
