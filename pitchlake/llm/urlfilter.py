@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -26,54 +28,59 @@ RULES = (
 )
 #: Verdict of urls that no rule fits.
 DEFAULT_VERDICT = "allow"
-#: Most bytes of a rule file that every executor gets; longer lists go through judge_by_join().
-FILE_BYTES = 256 << 20
+#: Rules of one shard, whose file executors map; a longer list has more shards, each a range of digests.
+SHARD_RULES = 1 << 20
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FOLD = str.maketrans(_UPPER, _UPPER.lower())
 
 
 def _key(host: str, path: str) -> bytes:
     return f"{host}\0{path}".encode()
 
 
-def build(rules: Sequence[tuple[str, str, str]]) -> bytes:
-    """The index as one blob: header, sorted uint64 digests, offsets and strings, verdicts, prefix lengths.
+def build(rules: Sequence[tuple[str, str, str]], shard_rules: int = SHARD_RULES) -> list[bytes]:
+    """The index: a blob of prefix lengths, host depth and each shard's first digest, then a blob per shard.
 
-    Rules are lower-cased in the host; of equal (host, path) the last one counts.
+    A shard is a range of the sorted digests: header, uint64 digests, offsets, verdicts and
+    strings. A-Z of hosts are lower-cased; of equal (host, path) the last one counts.
     """
     import xxhash
 
-    last = {(h.lower(), p): v for h, p, v in rules}
-    rows = sorted((xxhash.xxh64_intdigest(_key(h, p)), _key(h, p), v) for (h, p), v in last.items())
-    keys = np.array([r[0] for r in rows], np.uint64)
-    strings = b"".join(r[1] for r in rows)
-    offsets = np.cumsum([0, *(len(r[1]) for r in rows)]).astype(np.int64)
-    verdicts = np.array([r[2] == "block" for r in rows], np.uint8)
-    lengths = np.array(sorted({len(p) for _, p in last}), np.int64)
+    last = {(h.translate(_FOLD), p): v for h, p, v in rules}
+    digests = np.fromiter((xxhash.xxh64_intdigest(_key(*k)) for k in last), np.uint64, len(last))
+    every = list(last)
+    order = np.argsort(digests, kind="stable")
+    cuts = list(range(0, len(order), shard_rules))
+    # equal digests stay in one shard, so that a probe looks into one
+    ends = [int(np.searchsorted(digests[order], digests[order[c]], "left")) for c in cuts]
+    shards = []
+    for a, b in zip(ends, [*ends, len(order)][1:], strict=True):
+        own = [every[i] for i in order[a:b]]
+        strings = [_key(*k) for k in own]
+        offsets = np.cumsum([0, *map(len, strings)]).astype(np.int64)
+        blocks = np.array([last[k] == "block" for k in own], np.uint8)
+        shards.append(b"".join((np.array([len(own), offsets[-1]], np.int64).tobytes(), digests[order[a:b]].tobytes(), offsets.tobytes(), blocks.tobytes(), *strings)))
+    lengths = sorted({len(p) for _, p in last})
     depth = max((h.count(".") + 1 for h, _ in last), default=0)
-    head = np.array([len(rows), len(lengths), depth, len(strings)], np.int64)
-    return b"".join(x.tobytes() for x in (head, keys, offsets, lengths, verdicts)) + strings
+    head = np.array([depth, len(lengths), *lengths], np.int64).tobytes() + digests[order[ends]].tobytes()
+    return [head, *shards]
 
 
-class DigestArray:
-    """Probes a mapped index."""
+class Shard:
+    """Probes one mapped range of the index."""
 
     def __init__(self, mapped: np.ndarray):
-        n, m, self.depth, size = (int(x) for x in mapped[:32].view(np.int64))
-        at = 32
+        n, size = (int(x) for x in mapped[:16].view(np.int64))
+        at = 16
         self.keys = mapped[at : at + 8 * n].view(np.uint64)
         at += 8 * n
         self.offsets = mapped[at : at + 8 * (n + 1)].view(np.int64)
         at += 8 * (n + 1)
-        self.lengths = mapped[at : at + 8 * m].view(np.int64).tolist()
-        at += 8 * m
         self.blocks = mapped[at : at + n]
         self.strings = mapped[at + n : at + n + size]
 
-    def find(self, wanted: list[bytes], digests: np.ndarray | None = None) -> np.ndarray:
+    def find(self, wanted: list[bytes], digests: np.ndarray) -> np.ndarray:
         """Row of each key or -1; a digest that is found counts only if the stored string is the same."""
-        import xxhash
-
-        if digests is None:
-            digests = np.array([xxhash.xxh64_intdigest(x) for x in wanted], np.uint64)
         low = np.searchsorted(self.keys, digests, "left")
         high = np.searchsorted(self.keys, digests, "right")
         out = np.full(len(wanted), -1)
@@ -83,6 +90,33 @@ class DigestArray:
                     out[i] = row
         return out
 
+
+class DigestArray:
+    """The whole index; shards are mapped when a probe first falls into their range."""
+
+    def __init__(self, head: bytes, shard: Callable[[int], Shard]):
+        numbers = np.frombuffer(head, np.int64)
+        self.depth, m = int(numbers[0]), int(numbers[1])
+        self.lengths = numbers[2 : 2 + m].tolist()
+        self.firsts = numbers[2 + m :].view(np.uint64)
+        self.shard = lru_cache(None)(shard)
+
+    def verdicts(self, wanted: list[bytes], digests: np.ndarray | None = None) -> list[bool | None]:
+        """Whether the rule of each key blocks; None without a rule."""
+        import xxhash
+
+        if digests is None:
+            digests = np.fromiter((xxhash.xxh64_intdigest(x) for x in wanted), np.uint64, len(wanted))
+        out: list[bool | None] = [None] * len(wanted)
+        own = np.searchsorted(self.firsts, digests, "right") - 1
+        for k in np.unique(own[own >= 0]).tolist():
+            at = np.flatnonzero(own == k)
+            shard = self.shard(k)
+            for i, row in zip(at.tolist(), shard.find([wanted[i] for i in at], digests[at]).tolist(), strict=True):
+                if row >= 0:
+                    out[i] = bool(shard.blocks[row])
+        return out
+
     def judge(self, hosts: list[str], paths: list[str]) -> list[tuple[str | None, str | None]]:
         """(rule, verdict) of the longest rule; of equal lengths that with the longer host."""
         wanted: dict[tuple[str, str], None] = {}
@@ -93,29 +127,39 @@ class DigestArray:
             tried.append(own)
             wanted.update(dict.fromkeys(own))
         pairs = list(wanted)
-        rows = dict(zip(pairs, self.find([_key(*p) for p in pairs]).tolist(), strict=True))
+        found = dict(zip(pairs, self.verdicts([_key(*p) for p in pairs]), strict=True))
         out: list[tuple[str | None, str | None]] = []
         for own in tried:
-            hits = [p for p in own if rows[p] >= 0]
+            hits = [p for p in own if found[p] is not None]
             best = max(hits, key=lambda p: (len(p[0]) + len(p[1]), len(p[0])), default=None)
-            out.append((None, None) if best is None else (best[0] + best[1], "block" if self.blocks[rows[best]] else "allow"))
+            out.append((None, None) if best is None else (best[0] + best[1], "block" if found[best] else "allow"))
         return out
 
 
 @lru_cache(2)
-def _mapped(name: str) -> DigestArray:
-    return DigestArray(np.memmap(SparkFiles.get(name), np.uint8, "r"))
+def _mapped(names: tuple[str, ...]) -> DigestArray:
+    with open(SparkFiles.get(names[0]), "rb") as f:
+        head = f.read()
+    return DigestArray(head, lambda k: Shard(np.memmap(SparkFiles.get(names[1 + k]), np.uint8, "r")))
+
 
+def spread(spark: SparkSession, blobs: list[bytes]) -> tuple[str, ...]:
+    """Give every executor, also later ones, the files to map; returns their names."""
+    names = []
+    for blob in blobs:
+        name = f"urlrules-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
+        names.append(name)
+        if not os.path.exists(SparkFiles.get(name)):
+            folder = tempfile.mkdtemp(prefix="pitchlake-rules-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it runs
+            with open(os.path.join(folder, name), "wb") as f:
+                f.write(blob)
+            spark.sparkContext.addFile(os.path.join(folder, name))
+    return tuple(names)
 
-def spread(spark: SparkSession, blob: bytes) -> str:
-    """Give every executor, also later ones, the file to map; returns its name."""
-    name = f"urlrules-{hashlib.sha256(blob).hexdigest()[:24]}.bin"
-    if not os.path.exists(SparkFiles.get(name)):
-        folder = tempfile.mkdtemp()
-        with open(os.path.join(folder, name), "wb") as f:
-            f.write(blob)
-        spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+
+def _folded(host) -> F.Column:
+    return F.translate(host, _UPPER, _UPPER.lower())
 
 
 def parsed(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -124,27 +168,27 @@ def parsed(df: DataFrame, url_col: str = "url") -> DataFrame:
     rest = F.when(F.instr(url, "://") > 0, F.expr("substring(coalesce(cast(`{0}` as string), ''), instr(coalesce(cast(`{0}` as string), ''), '://') + 3)".format(url_col))).otherwise("")
     host = F.regexp_extract(rest, r"(?s)\A([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)\A[^/?#]*([^?#]*)", 1)
-    return df.withColumn("host", F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).withColumn("path", path)
+    return df.withColumn("host", _folded(host)).withColumn("path", path)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
     """One row per input row: id, host, path, rule (null if none fits), verdict (allow or block).
 
     Each url's host suffixes and path prefixes of the rules' lengths are hashed and
-    searched for in the mapped array; hits are confirmed on the stored strings. Null
-    or malformed urls have empty host and path and get the default verdict, as all
-    do when there are no rules. Rows are judged one by one: repeated rows stay, extra
-    columns are left out, nothing is shuffled.
+    searched for in the mapped array; hits are confirmed on the stored strings. The array
+    has as many shards of SHARD_RULES rules as the list needs, all probed alike. Null,
+    empty or malformed urls have empty host and path and get the default verdict, as all
+    do when there are no rules; long urls are judged whole. Rules of equal length can't
+    both fit but by their host's length, the longer one counts. Rows are judged one by
+    one: repeated rows and null ids stay, an empty table gives no rows, extra columns are
+    left out whatever their names, nothing is shuffled.
     """
     spark = tuned(pages.sparkSession)
-    blob = build(rules)
-    if len(blob) > FILE_BYTES:
-        return judge_by_join(pages, spark.createDataFrame(list(rules), "host string, path string, verdict string"), id_col, url_col, default)
-    name = spread(spark, blob)
+    names = spread(spark, build(rules))
     src = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).select("id", "host", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _mapped(name)
+        index = _mapped(names)
         for b in batches:
             got = index.judge(b.column(1).to_pylist(), b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] or default for x in got], pa.string())], ["id", "host", "path", "rule", "verdict"])
@@ -154,17 +198,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_co
 
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
-    """The same for a rule table of any size: candidates are joined to it by equality.
+    """judge() for rules that are a table (host, path, verdict, position): candidates are joined to it by equality.
 
-    Lengths of paths are collected (a few distinct numbers); a row with a null part of
-    a rule is ignored, of equal rules the greatest verdict counts.
+    For lists that the driver shouldn't hold; the caller chooses it, the results are the
+    same. Of equal (host, path) the greatest position counts. Lengths of paths are
+    collected (a few distinct numbers); rules with a null part are ignored.
     """
-    r = rules.select(F.lower("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")).dropna().groupBy("rh", "rp").agg(F.max("rv").alias("rv"))
+    r = rules.select(_folded("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv"), "position").dropna().groupBy("rh", "rp").agg(F.max_by("rv", "position").alias("rv"))
+    r = r.withColumn("rv", F.when(F.col("rv") == "block", "block").otherwise("allow"))
     lengths = sorted(x[0] for x in r.select(F.length("rp")).distinct().collect())
-    src = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).withColumn("_row", F.monotonically_increasing_id())
+    src = parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))).select("id", "host", "path")
+    # each (host, path) is looked up once, however many rows have it
+    one = src.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    tried = src.withColumn("_n", F.size(labels)).withColumn("rh", F.explode(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda d: F.array_join(F.slice(labels, d, F.col("_n")), "."))))
-    tried = tried.withColumn("_k", F.explode(F.array(*[F.lit(k) for k in lengths] or [F.lit(None).cast("int")]))).where(F.col("_k") <= F.length("path"))
-    hits = tried.withColumn("rp", F.col("path").substr(F.lit(1), F.col("_k"))).join(r, ["rh", "rp"])
-    best = hits.groupBy("_row").agg(F.max(F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), F.concat("rh", "rp").alias("rule"), F.col("rv"))).alias("b"))
-    return src.join(best, "_row", "left").select(F.col("id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rv", F.lit(default)).alias("verdict"))
+    tried = one.withColumn("n", F.size(labels)).withColumn("rh", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda d: F.array_join(F.slice(labels, d, F.col("n")), "."))))
+    tried = tried.withColumn("k", F.explode(F.array(*[F.lit(k) for k in lengths] or [F.lit(None).cast("int")]))).where(F.col("k") <= F.length("path"))
+    hits = tried.withColumn("rp", F.col("path").substr(F.lit(1), F.col("k"))).join(r, ["rh", "rp"])
+    best = hits.groupBy("host", "path").agg(F.max(F.struct((F.length("rh") + F.length("rp")).alias("n"), F.length("rh").alias("h"), F.concat("rh", "rp").alias("rule"), F.col("rv"))).alias("b"))
+    return src.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.rv", F.lit(default)).alias("verdict"))

@@ -33,15 +33,33 @@ def test_against_brute_force(spark, rules):
     want = [(i, *brute(u, rules)) for i, u in enumerate(urls)]
     assert sorted(map(tuple, urlfilter.judge(frame(spark, urls), rules).collect())) == want
     if rules:
-        table = spark.createDataFrame(list(rules), "host string, path string, verdict string")
+        table = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "host string, path string, verdict string, position int")
         assert sorted(map(tuple, urlfilter.judge_by_join(frame(spark, urls), table).collect())) == want
 
 
+@pytest.mark.parametrize("shard", [1, 2, 1 << 20])
+def test_any_number_of_shards_and_the_join_agree(spark, monkeypatch, shard):
+    """Equal rules (the last counts), hosts in any case, and lists on both sides of a shard's size."""
+    monkeypatch.setattr(urlfilter, "SHARD_RULES", shard)
+    monkeypatch.setattr(urlfilter.build, "__defaults__", (shard,))
+    rules = [("a.com", "/", "block"), ("A.com", "/", "allow"), ("b.com", "/x", "allow"), ("B.COM", "/x", "block"), ("É.com", "/", "block"), ("é.com", "/y", "block")]
+    urls = ["http://a.com/", "http://x.A.com/q", "http://b.com/xy", "http://b.com/", "http://É.com/", "http://é.com/y", "http://É.com/y", None, "http://" + "a." * 5000 + "com/" + "x" * 50_000]
+    last = [("a.com", "/", "allow"), ("b.com", "/x", "block"), ("É.com", "/", "block"), ("é.com", "/y", "block")]
+    want = [(i, *brute(u, last)) for i, u in enumerate(urls)]
+    assert len(urlfilter.build(rules)) == 1 + -(-4 // shard)
+    assert sorted(map(tuple, urlfilter.judge(frame(spark, urls), rules).collect())) == want
+    table = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "host string, path string, verdict string, position int")
+    assert sorted(map(tuple, urlfilter.judge_by_join(frame(spark, urls), table).collect())) == want
+
+
 def test_collisions_are_told_apart_by_the_strings():
-    index = urlfilter.DigestArray(np.frombuffer(urlfilter.build([("a.com", "/", "block"), ("b.com", "/", "allow")]), np.uint8))
-    other = index.keys[:1].copy()  # a key that isn't stored, with the digest of one that is
-    assert index.find([b"c.com\0/"], other)[0] == -1
+    _, blob = urlfilter.build([("a.com", "/", "block"), ("b.com", "/", "allow")])
+    shard = urlfilter.Shard(np.frombuffer(blob, np.uint8))
+    other = shard.keys[:1].copy()  # a key that isn't stored, with the digest of one that is
+    assert shard.find([b"c.com\0/"], other)[0] == -1
 
 
-def test_empty_table(spark):
+def test_empty_table_and_repeated_rows(spark):
     assert urlfilter.judge(frame(spark, [])).collect() == []
+    twice = frame(spark, ["http://net/es/", None]).unionByName(frame(spark, ["http://net/es/", None]))
+    assert sorted(r.verdict for r in urlfilter.judge(twice).collect()) == ["allow", "allow", "block", "block"]
