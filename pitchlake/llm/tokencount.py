@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, shared_dir, slices, texts, tuned
+from .common import file_system, frugal, shared_dir, slices, texts, tuned
 from .tokenizing import WordTable, load, tokenizer_file, version_digest
 
+#: Folder of the cache within the shared folder.
+DEFAULT_CACHE = "token-counts"
 CACHE = "content string, tokenizer string, n_tokens long"
 
 
@@ -40,8 +41,7 @@ def counted(texts_df: DataFrame, path: str) -> DataFrame:
 
 def read_cache(spark: SparkSession, cache: str, digest: str) -> DataFrame:
     """Stored counts of one tokenizer version; a cache that doesn't exist yet is empty."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = file_system(spark, cache)
     rows = spark.read.schema(CACHE).parquet(cache) if fs.exists(path) else spark.createDataFrame([], CACHE)
     # An append that a failed job repeated leaves equal rows.
     return rows.where(F.col("tokenizer") == digest).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
@@ -52,17 +52,18 @@ def token_counts(docs: DataFrame, cache: str | None = None, id_col: str = "doc_i
 
     The content digest is the SHA-256 of the text's UTF-8 bytes, null taken as empty:
     this tokenizer normalises nothing, so any other normal form would change counts.
-    Digests are joined to the cache at path cache (default: a new one in the shared
-    folder); one text of each missing digest is encoded and its count appended; then
-    all rows are joined to the counts. Empty texts have 0 tokens. Repeated rows and
-    repeated or null ids are kept; columns other than these two are left out, so names
-    can't clash. A digest shared by many rows is a small row on either side of an equi
-    join, which adaptive execution splits; texts are shuffled once, as what they are.
+    Digests are joined to the cache at path cache (default: token-counts in the shared
+    folder, which later runs find again); one text of each missing digest is encoded and
+    its count appended; then all rows are joined to the counts. Null and empty texts
+    have 0 tokens; long texts are encoded whole. Repeated rows, ties of ids and null ids
+    are kept, an empty table gives no rows; columns other than these two are left out, so
+    names can't clash. A digest shared by many rows is a small row on either side of an
+    equi join, which adaptive execution splits; texts are shuffled once, as what they are.
     """
     spark = tuned(docs.sparkSession)
     path = tokenizer_file(tokenizer)
     digest = version_digest(path)
-    cache = cache or f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = cache or f"{shared_dir(spark)}/{DEFAULT_CACHE}"
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keyed = src.withColumn("content", F.sha2(F.col("text").cast("binary"), 256))
     known = read_cache(spark, cache, digest)
