@@ -8,49 +8,58 @@ characters reaches the bound, the windows that hold it are aligned.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import os
+import shutil
+import tempfile
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frugal, list_column, powers, slices, tuned, utf8
 
 Q = 12
-#: Windows of an item in normalised bytes; one starts at each position.
+#: Windows of an item in normalised characters; one starts at each position.
 WINDOW = 80
 #: Edits allowed, as a share of a window.
 EDIT_RATE = 0.06
-#: Items with fewer normalised bytes match only verbatim, as whole words; those under Q are too short to tell and never match.
-MIN_BYTES = 40
+#: Items with fewer normalised characters match only verbatim, as whole words; those under Q are too short to tell and never match.
+MIN_CHARS = 40
 #: Windows that are aligned at once.
 _AT_ONCE = 512
-#: Normalised benchmark bytes that are searched for at once; a larger benchmark takes several passes.
+#: Benchmark text in one index file; a larger benchmark has several, which workers map.
 BLOCK_BYTES = 4 << 20
 _TABLE_BITS = 22
 _BASE = 0x9E3779B97F4A7C15
 
 
+@lru_cache(1)
 def _codes() -> np.ndarray:
-    """Byte to normalised byte: lower case, and one space for ASCII punctuation, white space and controls."""
-    out = np.arange(256, dtype=np.uint8)
-    out[65:91] += 32
-    for b in range(128):
-        if not chr(b).isalnum():
-            out[b] = 32
+    """Code point to normalised one: letters in lower case, digits and marks as they are, a space for all else."""
+    out = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
+        major = unicodedata.category(chr(c))[0]
+        if major in "LMN":
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
     return out
 
 
-_NORMAL = _codes()
-
-
 def normalised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Normal form of texts given as UTF-8: letters lower-cased (ASCII and Latin-1), runs of other ASCII one space."""
-    out = _NORMAL[raw]
-    if len(raw) > 1:
-        second = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        out[1:][second] += 0x20
+    """Normal form of texts given as UTF-8, as code points: letters lower-cased, runs of anything but letters, digits and marks one space."""
+    if len(raw) and int(raw.max()) >= 128:
+        begins = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=begins[1:])
+        offsets = begins[offsets]
+        raw = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    out = _codes()[raw]
     space = out == 32
     drop = space.copy()
     drop[1:] &= space[:-1]
@@ -62,8 +71,12 @@ def normalised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[keep], total[offsets]
 
 
+def _text(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le")
+
+
 def _grams(norm: np.ndarray) -> np.ndarray:
-    """Hash of the q bytes from each position."""
+    """Hash of the q characters from each position."""
     n = len(norm)
     if n < Q:
         return np.zeros(0, np.uint64)
@@ -79,43 +92,70 @@ def _grams(norm: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Q-grams of a block of items, and what a window of each may differ by."""
+    """Q-grams of a block of items, and what a window of each may differ by; a set of arrays that a file can hold."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[int] = []
+        ids: list[int] = []
         blobs: list[np.ndarray] = []
         bounds: list[tuple[int, int, int]] = []  # window, edits, least shared q-grams
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
-            norm, _ = normalised(raw, np.array([0, len(raw)]))
-            blob = np.frombuffer(norm.tobytes().rstrip(b" "), np.uint8)
+            blob, _ = normalised(raw, np.array([0, len(raw)]))
+            if len(blob) and blob[-1] == 32:
+                blob = blob[:-1]
             if len(blob) < Q:
                 continue
             size = min(len(blob), WINDOW)
-            k = int(EDIT_RATE * size) if size >= MIN_BYTES else 0
+            k = int(EDIT_RATE * size) if size >= MIN_CHARS else 0
             need = size + 1 - Q - k * Q
             while need < 1:  # a shorter window bears fewer edits
                 k -= 1
                 need += Q
-            self.items.append(item)
+            ids.append(item)
             blobs.append(blob)
             bounds.append((size, k, need))
-        self.blobs = blobs
-        self.size, self.edits, self.need = np.array(bounds, np.int64).reshape(-1, 3).T
+        self.items = np.array(ids, np.int64)
+        self.size, self.edits, self.need = (np.ascontiguousarray(x) for x in np.array(bounds, np.int64).reshape(-1, 3).T)
         self.length = np.array([len(b) for b in blobs], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
+        self.codes = np.concatenate(blobs) if blobs else np.zeros(0, np.uint32)
         n = self.length + 1 - Q
         g = np.concatenate([_grams(b) for b in blobs]) if blobs else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(blobs)), n)
         place = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
         order = np.argsort(g, kind="stable")
-        self.keys, self.owner, self.place = g[order], owner[order], place[order]
-        self.bits = np.zeros(1 << _TABLE_BITS, bool)
-        self.bits[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
+        self.keys, self.owner, self.place = g[order], owner[order].astype(np.int32), place[order].astype(np.int32)
+        bits = np.zeros(1 << _TABLE_BITS, bool)
+        bits[self.keys >> np.uint64(64 - _TABLE_BITS)] = True
+        self.bits = bits
+
+    ARRAYS = (("items", np.int64), ("size", np.int64), ("edits", np.int64), ("need", np.int64), ("length", np.int64), ("begin", np.int64), ("keys", np.uint64), ("owner", np.int32), ("place", np.int32), ("codes", np.uint32), ("bits", bool))
+
+    def packed(self) -> bytes:
+        """The arrays one after another, each padded to eight bytes, after their lengths."""
+        parts = [np.ascontiguousarray(getattr(self, name), kind).tobytes() for name, kind in self.ARRAYS]
+        head = np.array([len(getattr(self, name)) for name, _ in self.ARRAYS], np.int64).tobytes()
+        return head + b"".join(p + bytes(-len(p) % 8) for p in parts)
+
+    @classmethod
+    def mapped(cls, data: np.ndarray) -> Index:
+        self, at = cls.__new__(cls), 8 * len(cls.ARRAYS)
+        for n, (name, kind) in zip(data[:at].view(np.int64).tolist(), cls.ARRAYS, strict=True):
+            size = n * np.dtype(kind).itemsize
+            setattr(self, name, data[at : at + size].view(kind))
+            at += size + -size % 8
+        return self
+
+    def _blob(self, o: int) -> np.ndarray:
+        return self.codes[self.begin[o] : self.begin[o] + self.length[o]]
 
     def search(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """(row, item) of texts that have a region within the edits of a window."""
-        norm, off = normalised(raw, offsets)
-        h = _grams(norm)
+        return self.search_normal(*normalised(raw, offsets))
+
+    def search_normal(self, norm: np.ndarray, off: np.ndarray, h: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """search() for texts in normal form, with their q-grams if these are at hand."""
+        h = _grams(norm) if h is None else h
         if not len(h) or not len(self.keys):
             return []
         at = np.flatnonzero(self.bits[h >> np.uint64(64 - _TABLE_BITS)])
@@ -153,33 +193,33 @@ class Index:
         cuts = np.flatnonzero(np.diff(group[i])) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True):
             d, o = int(doc[i[a]]), int(own[i[a]])
-            if (d, self.items[o]) in found:
+            if (d, int(self.items[o])) in found:
                 continue
             wanted = np.zeros(self.length[o] + 2, np.int64)
             np.add.at(wanted, begin[a:b], 1)
             np.add.at(wanted, end[a:b] + 1, -1)
             starts = np.flatnonzero(np.cumsum(wanted) > 0)
             if self._near(o, starts, norm, int(off[d]), int(off[d + 1]), int(band[i[a]])):
-                found.add((d, self.items[o]))
+                found.add((d, int(self.items[o])))
         return sorted(found)
 
     def _near(self, o: int, starts: np.ndarray, norm: np.ndarray, low: int, high: int, band: int) -> bool:
         """Whether a window of item o at one of starts is near a region of norm[low:high] in the band."""
-        size, k, blob = int(self.size[o]), int(self.edits[o]), self.blobs[o]
+        size, k, blob = int(self.size[o]), int(self.edits[o]), self._blob(o)
         left = band * (k + 1)  # the band's first diagonal
-        if len(blob) < MIN_BYTES:
-            item, text = blob.tobytes(), norm[low:high].tobytes()
+        if len(blob) < MIN_CHARS:
+            item, text = _text(blob), _text(norm[low:high])
             bounds = range(max(left - low, 0), left - low + 2 * (k + 1))
             return any(text.startswith(item, x) and not _word(text[x - 1 : x]) and not _word(text[x + size : x + size + 1]) for x in bounds)
         middle = int(starts[len(starts) // 2])
-        part = blob[middle : middle + size].tobytes()
-        if part in norm[max(low, left + middle) : min(high, left + 2 * (k + 1) + middle + size)].tobytes():
+        part = _text(blob[middle : middle + size])
+        if part in _text(norm[max(low, left + middle) : min(high, left + 2 * (k + 1) + middle + size)]):
             return True
         return any(windows_aligned(blob, starts[x : x + _AT_ONCE], size, norm, low, high, left, 2 * (k + 1), k) for x in range(0, len(starts), _AT_ONCE))
 
 
-def _word(byte: bytes) -> bool:
-    return byte not in (b"", b" ")
+def _word(c: str) -> bool:
+    return c not in ("", " ")
 
 
 def windows_aligned(item: np.ndarray, starts: np.ndarray, size: int, norm: np.ndarray, low: int, high: int, first: int, width: int, k: int) -> bool:
@@ -197,11 +237,11 @@ def windows_aligned(item: np.ndarray, starts: np.ndarray, size: int, norm: np.nd
         inside = (at >= low) & (at < high)
         differs = norm[np.clip(at, low, high - 1)] != item[starts + i][:, None]
         best[inside] = (row + differs)[inside]
-        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # the item's byte is left out
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)  # the item's character is left out
         at = at + 1
         outside = (at < low) | (at > high)
         best[outside] = big
-        best = np.minimum.accumulate(best - step, axis=1) + step  # a byte of norm is left out
+        best = np.minimum.accumulate(best - step, axis=1) + step  # a character of norm is left out
         best[outside] = big
         row = np.minimum(best, big)
         near = row.min(1) <= k
@@ -239,7 +279,7 @@ def aligned(part: bytes, region: bytes, first: int, width: int, k: int) -> bool:
 
 
 def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of at most BLOCK_BYTES, so that a broadcast index is bounded."""
+    """Items in blocks of at most BLOCK_BYTES (or one item), one at a time on the driver."""
     own, size = [], 0
     for r in benchmark.select(item_col, text_col).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
         if own and size + len(r[1]) > BLOCK_BYTES:
@@ -250,54 +290,84 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
     yield own
 
 
+def spread(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str) -> tuple[str, ...]:
+    """Give every executor, also later ones, an index file per block to map; returns their names."""
+    names = []
+    for items in blocks(benchmark, item_col, text_col):
+        data = Index(items).packed()
+        name = f"benchmark-{hashlib.sha256(data).hexdigest()[:24]}.bin"
+        names.append(name)
+        if not os.path.exists(SparkFiles.get(name)):
+            folder = tempfile.mkdtemp(prefix="pitchlake-benchmark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the driver serves the file as long as it runs
+            with open(os.path.join(folder, name), "wb") as f:
+                f.write(data)
+            spark.sparkContext.addFile(os.path.join(folder, name))
+    return tuple(names)
+
+
+@lru_cache(2)
+def _mapped(names: tuple[str, ...]) -> list[Index]:
+    return [Index.mapped(np.memmap(SparkFiles.get(name), np.uint8, "r")) for name in names]
+
+
+def _found(names: tuple[str, ...], raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """(row, item) over all blocks; texts are normalised once."""
+    norm, off = normalised(raw, offsets)
+    h = _grams(norm)
+    return [x for index in _mapped(names) for x in index.search_normal(norm, off, h)]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
     """One row per input row: id, contaminated boolean, n_items long, items array<long> (ascending).
 
-    A document matches an item if a window of the item's normal form (WINDOW bytes from
-    any position, or the whole item if shorter) is within EDIT_RATE edits of one of its
-    regions. Items under MIN_BYTES match only verbatim, between word ends. Null and empty
-    texts match nothing; null items and those under Q bytes are matched by nothing. Repeated rows
-    and ids stay; extra columns are left out. Nothing is shuffled. Item ids are integers.
+    A document matches an item if a window of the item's normal form (WINDOW characters
+    from any position, or the whole item if shorter) is within EDIT_RATE edits of one of
+    its regions. Items under MIN_CHARS match only verbatim, between word ends. Null and
+    empty texts match nothing; long ones are searched whole; null items and those under Q
+    characters are matched by nothing, an empty benchmark by no text, and an empty table
+    of documents gives no rows. Repeated items and items of one text all count; an id in
+    items stands once. Repeated rows, ties of ids and null ids stay; extra columns are
+    left out whatever their names. Nothing is shuffled. Item ids are integers. Executors
+    map the index files, so a large benchmark takes disk and passes in memory, not heap.
     """
     spark = tuned(docs.sparkSession)
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.array().cast("array<long>").alias("_items"))
+    names = spread(spark, benchmark, item_col, bench_text)
     kind = docs.schema[id_col].dataType.simpleString()
-    for items in blocks(benchmark, item_col, bench_text):
-        shared = spark.sparkContext.broadcast(Index(items))
 
-        @frugal
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for b in slices(batches, "_text", 1 << 19):
-                had = b.column(2).to_pylist()
-                for row, item in index.search(*utf8(b.column(1))):
-                    had[row] = [*had[row], item]
-                flat = [x for own in had for x in own]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_column(np.array(flat, np.int64), np.array([len(x) for x in had]), pa.int64())], ["_id", "_text", "_items"])
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1 << 19):
+            items: list[set[int]] = [set() for _ in range(b.num_rows)]
+            for row, item in _found(names, *utf8(b.column(1))):
+                items[row].add(item)
+            n = np.array([len(x) for x in items])
+            flat = np.array([i for own in items for i in sorted(own)], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n > 0), pa.array(n, pa.int64()), list_column(flat, n, pa.int64())], ["id", "contaminated", "n_items", "items"])
 
-        out = out.mapInArrow(run, f"_id {kind}, _text string, _items array<long>")
-    items_col = F.array_sort(F.array_distinct("_items"))
-    return out.select(F.col("_id").alias(id_col), (F.size("_items") > 0).alias("contaminated"), F.size(items_col).cast("long").alias("n_items"), items_col.alias("items"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, f"id {kind}, contaminated boolean, n_items long, items array<long>").withColumnRenamed("id", id_col)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text") -> DataFrame:
-    """The rows of docs that match no item, with all their columns."""
+    """The rows of docs that match no item, with all their columns.
+
+    As matches(): null and empty texts and rows of any id stay, repeated rows are judged
+    alike, long texts whole; an empty benchmark removes nothing, an empty table stays empty.
+    """
     spark = tuned(docs.sparkSession)
-    out = docs
-    for items in blocks(benchmark, item_col, bench_text):
-        shared = spark.sparkContext.broadcast(Index(items))
-
-        @F.pandas_udf("boolean")
-        def clean(text, shared=shared):
-            import pandas as pd
-
-            good = np.ones(len(text), bool)
-            batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string(), from_pandas=True)], ["i", "t"])
-            for b in slices(iter([batch]), "t", 1 << 19):
-                first = b.column(0)[0].as_py()
-                for row, _ in shared.value.search(*utf8(b.column(1))):
-                    good[first + row] = False
-            return pd.Series(good)
-
-        out = out.where(clean(F.col(text_col).cast("string")))
-    return out
+    names = spread(spark, benchmark, item_col, bench_text)
+
+    @F.pandas_udf("boolean")
+    def clean(text):
+        import pandas as pd
+
+        good = np.ones(len(text), bool)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(text))), pa.array(text, pa.string(), from_pandas=True)], ["i", "t"])
+        for b in slices(iter([batch]), "t", 1 << 19):
+            first = b.column(0)[0].as_py()
+            for row, _ in _found(names, *utf8(b.column(1))):
+                good[first + row] = False
+        return pd.Series(good)
+
+    return docs.where(clean(F.col(text_col).cast("string")))

@@ -1,6 +1,8 @@
 import random
+import unicodedata
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pitchlake.llm import decontam
 
@@ -107,7 +109,7 @@ def test_windows_against_full_alignment():
             rng.choice([lambda: copy.__setitem__(at, 120), lambda: copy.insert(at, 121), lambda: copy.__delitem__(at)])()
         doc = bytes(rng.choices(b"wxyz", k=9)) + bytes(copy) + bytes(rng.choices(b"wxyz", k=9))
         want = any(within(item[x : x + 80], doc, 4) for x in range(max(0, s - 8), min(71, s + 16)))
-        index = decontam.Index([(3, item.decode())])
+        index = decontam.Index.mapped(np.frombuffer(decontam.Index([(3, item.decode())]).packed(), np.uint8))
         assert bool(index.search(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]))) == want
         found += want
     assert 30 < found < 150
@@ -118,3 +120,72 @@ def test_short_items_match_verbatim(spark):
     docs = ["quiz: name the LARGEST moon?", "name the largest moons", "rename the largest moon", "name the larger moon", "of the cat"]
     got = decontam.matches(*frames(spark, items, docs)).collect()
     assert {r.doc_id: r["items"] for r in got} == {0: [0], 1: [], 2: [], 3: [], 4: []}
+
+
+def plain_normal(text):
+    out = []
+    for c in text:
+        keep = unicodedata.category(c)[0] in "LMN"
+        if keep:
+            low = c.lower()
+            out.append(low if len(low) == 1 else c)
+        elif out and out[-1] != " ":
+            out.append(" ")
+    return "".join(out)
+
+
+def plain_match(item, doc):
+    """The definition, window by window: a whole search without an index."""
+    part, doc = plain_normal(item).rstrip(" "), plain_normal(doc)
+    if len(part) < decontam.Q:
+        return False
+    if len(part) < decontam.MIN_CHARS:
+        return any(doc.startswith(part, i) and doc[i - 1 : i] in ("", " ") and doc[i + len(part) : i + len(part) + 1] in ("", " ") for i in range(len(doc)))
+    size = min(len(part), decontam.WINDOW)
+    k = int(decontam.EDIT_RATE * size)
+    while size + 1 - decontam.Q - k * decontam.Q < 1:
+        k -= 1
+    return any(within(part[s : s + size], doc, k) for s in range(len(part) - size + 1))
+
+
+def test_whole_search_against_brute_force(spark):
+    """Documents with torn, edited, accented and moved excerpts; every pair is compared with the definition."""
+    rng = random.Random(23)
+    letters = "aeinorstéßЖя日"
+    prose = lambda n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(n))
+    items = [prose(n) for n in (2, 4, 7, 9, 14, 18, 22, 30)] + ["", "Où, Où?"]
+    docs = [None, "", prose(40)]
+    for item in items * 8:
+        a = rng.randint(0, max(0, len(item) - 60))
+        part = list(item[a : a + rng.choice([50, 82, 95, 400])])
+        for _ in range(rng.choice([0, 0, 1, 3, 4, 5, 6])):
+            if part:
+                at = rng.randrange(len(part))
+                rng.choice([lambda: part.__setitem__(at, rng.choice("éÉxЖ")), lambda: part.insert(at, "z"), lambda: part.__delitem__(at)])()
+        text = "".join(part)
+        docs.append(f"{prose(rng.randint(0, 6))} {text.upper() if rng.random() < 0.3 and 'ß' not in text else text} {prose(rng.randint(0, 6))}")
+    d, b = frames(spark, items, docs)
+    got = {r.doc_id: set(r["items"]) for r in decontam.matches(d, b).collect()}
+    want = {i: {j for j, item in enumerate(items) if t and plain_match(item, t)} for i, t in enumerate(docs)}
+    assert got == want and sum(map(bool, want.values())) > 15
+
+
+def test_an_accent_is_one_edit(spark):
+    item = "le théâtre où la fête était célébrée après la récolte des pêchers à côté du château doré"
+    doc = "xx " + item.replace("é", "e", 4) + " yy"
+    assert [r.contaminated for r in decontam.matches(*frames(spark, [item], [doc])).collect()] == [True]
+
+
+def test_odd_rows(spark):
+    """Null ids, repeated rows, a very long text, clashing columns, an empty benchmark."""
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(120_000))
+    item = "the quick brown fox jumps over the lazy dog and runs away from the very big bear"
+    rows = [(None, item, 1), (None, item, 1), (4, None, 1), (5, long + " " + item.upper(), 1), (5, long + " " + item.upper(), 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, contaminated int").withColumn("_text", F.lit(3)).withColumn("id", F.lit("z"))
+    b = spark.createDataFrame([(1, item), (1, item), (None, item), (2, None)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.contaminated, r["items"]) for r in decontam.matches(d, b).collect())
+    assert got == [(0, True, [1]), (0, True, [1]), (4, False, []), (5, True, [1]), (5, True, [1])]
+    kept = decontam.keep_clean(d, b)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [4]
+    assert decontam.keep_clean(d, b.limit(0)).count() == 5 and not any(r.contaminated for r in decontam.matches(d, b.limit(0)).collect())
