@@ -32,6 +32,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     return w
 
 
+def moments(x: np.ndarray) -> np.ndarray:
+    """Rows, means and summed squares about them, of the columns."""
+    mean = x.mean(0)
+    return np.concatenate([[len(x)], mean, ((x - mean) ** 2).sum(0)])
+
+
+def merged_moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    m = len(x) // 2
+    n, d = x[0] + y[0], y[1 : m + 1] - x[1 : m + 1]
+    return np.concatenate([[n], x[1 : m + 1] + d * y[0] / n, x[m + 1 :] + y[m + 1 :] + d * d * x[0] * y[0] / n])
+
+
 def loss_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Rows, log loss, gradient and Hessian (flat) of a logistic model, summed over rows."""
     z = np.clip(x @ w, -35, 35)
@@ -39,8 +51,11 @@ def loss_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([[len(x), (np.logaddexp(0, z) - y * z).sum()], x.T @ (q - y), ((x * (q * (1 - q))[:, None]).T @ x).ravel()])
 
 
-def newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], start: list[np.ndarray], ridge: float = 1e-3, rounds: int = 40) -> list[np.ndarray]:
-    """Ridge logistic models by damped Newton steps; sums gives loss_sums() of all rows for each model at once."""
+def newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], start: list[np.ndarray], ridge: float = 1e-3, rounds: int = 40, least: float = 1e-3) -> list[np.ndarray]:
+    """Ridge logistic models by damped Newton steps until one is shorter than least (what is left is then some least squared).
+
+    sums gives loss_sums() of all rows for each model at once.
+    """
     w, trial, best = list(start), list(start), [None] * len(start)
     step = [np.zeros_like(x) for x in start]
     open_ = [True] * len(start)
@@ -60,7 +75,7 @@ def newton(sums: Callable[[list[np.ndarray]], list[np.ndarray]], start: list[np.
                 grad = total[2 : 2 + m] / total[0] + penalty * w[i]
                 step[i] = -np.linalg.solve(total[2 + m :].reshape(m, m) / total[0] + np.diag(penalty), grad)
             trial[i] = w[i] + step[i]
-            if np.abs(step[i]).max() < 1e-5:
+            if np.abs(step[i]).max() < least:
                 w[i], open_[i] = trial[i], False
         if not any(open_):
             break

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import frugal, list_column, stored, tuned
-from .linear import Scaled, logistic, loss_sums, newton, sigmoid
+from .linear import Scaled, logistic, loss_sums, merged_moments, moments, newton, sigmoid
 
 #: Labelled rows that the two views are fitted on, at most; of the unlabelled documents all take part.
 MAX_LABELLED = 50_000
@@ -22,7 +22,10 @@ SURE = math.log(19)
 _EDGES = SURE + np.arange(4096) * 0.01
 #: Documents below this calibrated probability of being good are rejected.
 THRESHOLD = 0.1
-LANG_SLOTS, SOURCE_SLOTS = 8, 32
+#: Labelled rows that an average good rate counts for in the rate of a language or source.
+RATE_PRIOR = 50.0
+#: Folds of the labelled rows; a row's rates come from the other folds, the last fold calibrates.
+FOLDS = 5
 META = ("lang", "source", "n_chars")
 
 
@@ -50,47 +53,65 @@ def content_features(text: str | None) -> list[float]:
     ]
 
 
-def meta_features(lang: str | None, source: str | None, n_chars) -> list[float]:
-    """One-hot hashed language and source, and the stated length; null has slots of its own."""
-    x = [0.0] * (LANG_SLOTS + SOURCE_SLOTS + 4)
-    x[0 if lang is None else 1 + zlib.crc32(str(lang).encode()) % (LANG_SLOTS - 1)] = 1.0
-    x[LANG_SLOTS + (0 if source is None else 1 + zlib.crc32(str(source).encode()) % (SOURCE_SLOTS - 1))] = 1.0
-    if n_chars is None:
-        x[-1] = 1.0
-    else:
-        size = math.log1p(max(0, float(n_chars))) / 10
-        x[-4:-1] = size, size * size, float(n_chars < 200)
-    return x
-
-
-def _both(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
-    text, lang, source, size = (batch.column(at + i).to_pylist() for i in range(4))
-    a = np.array([content_features(t) for t in text])
-    b = np.array([meta_features(*m) for m in zip(lang, source, size, strict=True)])
-    return a, b
+def meta_features(text: str | None, n_chars) -> list[float]:
+    """Figures of the page as an object: stated and stored size, their ratios, lines, how far it shrinks; null size has a slot of its own."""
+    raw = (text or "").encode()
+    size, stated = len(raw), 0.0 if n_chars is None else max(0.0, float(n_chars))
+    spaces, lines = raw.count(b" "), raw.count(b"\n") + 1
+    shrunk = len(zlib.compress(raw, 1)) if size else 0
+    scale = math.log1p(stated or size) / 10
+    return [
+        scale, scale * scale, float(n_chars is None), float((stated or size) < 200), size / stated if stated else 1.0,
+        min(4.0, size / (spaces + lines) / 10), math.log1p(size / lines) / 10, math.log1p(spaces / lines) / 10,
+        min(1.0, shrunk / size) if size else 0.0, math.log1p(size / shrunk) if size else 0.0, float(not size),
+    ]
 
 
-def _with_meta(docs: DataFrame, *first: str) -> DataFrame:
-    """first, _text, _lang, _source, _size; a missing metadata column is null."""
-    cols = [F.col(c).cast(k) if c in docs.columns else F.lit(None).cast(k) for c, k in zip(META, ("string", "string", "double"), strict=True)]
-    return docs.select(*first, F.col("text").cast("string").alias("_text"), *(c.alias(n) for c, n in zip(cols, ("_lang", "_source", "_size"), strict=True)))
+N_CONTENT, N_META = len(content_features("")), len(meta_features("", None))
 
 
 def views(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, content array<double>, meta array<double> of every document."""
+    """id, content array<double>, meta array<double>, lang, source of every document; a missing metadata column is null."""
     tuned(docs.sparkSession)
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = _both(batch, 1)
+                text = batch.column(1).to_pylist()
+                a, b = _figures(text, batch.column(4).to_pylist())
                 cols = [list_column(x.ravel(), np.full(len(x), x.shape[1]), pa.float64()) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "content", "meta"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *cols, batch.column(2), batch.column(3)], ["id", "content", "meta", "lang", "source"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    src = _with_meta(docs.withColumnRenamed(id_col, "_id") if id_col != "_id" else docs, F.col("_id").alias("id"))
-    return src.mapInArrow(run, f"id {kind}, content array<double>, meta array<double>")
+    src = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text"), *_meta_columns(docs))
+    return src.mapInArrow(run, f"id {kind}, content array<double>, meta array<double>, lang string, source string")
+
+
+def _meta_columns(docs: DataFrame) -> list[F.Column]:
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in zip(META, ("string", "string", "double"), strict=True)]
+
+
+def _figures(text: list[str | None], n_chars: list) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([content_features(t) for t in text]), np.array([meta_features(t, n) for t, n in zip(text, n_chars, strict=True)])
+
+
+class Rates:
+    """Log-odds of being good by language and by source among labelled rows, shrunk to the average; unknown ones have the average."""
+
+    def __init__(self, keys: tuple[list, list], y: np.ndarray):
+        self.mean = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
+        self.tables = []
+        for names in keys:
+            n, good = Counter(names), Counter(k for k, v in zip(names, y.tolist(), strict=True) if v)
+            self.tables.append({k: self._logit((good[k] + RATE_PRIOR * self.mean) / (n[k] + RATE_PRIOR)) for k in n})
+
+    @staticmethod
+    def _logit(p: float) -> float:
+        return math.log(p / (1 - p))
+
+    def __call__(self, keys: tuple[list, list]) -> np.ndarray:
+        return np.array([[t.get(k, self._logit(self.mean)) for k in names] for t, names in zip(self.tables, keys, strict=True)]).T.reshape(-1, 2)
 
 
 def _replayed(a: np.ndarray, b: np.ndarray, history: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,19 +127,6 @@ def _replayed(a: np.ndarray, b: np.ndarray, history: list[tuple]) -> tuple[np.nd
     return free, *marks
 
 
-def _moments(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows, means and summed squares about them, of both views' columns."""
-    x = np.hstack([a, b])
-    mean = x.mean(0)
-    return np.concatenate([[len(x)], mean, ((x - mean) ** 2).sum(0)])
-
-
-def _merged(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    m = len(x) // 2
-    n, d = x[0] + y[0], y[1 : m + 1] - x[1 : m + 1]
-    return np.concatenate([[n], x[1 : m + 1] + d * y[0] / n, x[m + 1 :] + y[m + 1 :] + d * d * x[0] * y[0] / n])
-
-
 def _threshold(counts: np.ndarray, quota: int) -> float:
     """The least edge beyond which at most quota rows lie (those of one bin at least); infinite without rows."""
     beyond = counts[::-1].cumsum()[::-1]
@@ -131,54 +139,65 @@ def _threshold(counts: np.ndarray, quota: int) -> float:
 class Pool:
     """Stored views of documents, in passes that reduce each task's rows to one array of sums."""
 
-    def __init__(self, view: DataFrame):
-        self.view = view
+    def __init__(self, view: DataFrame, rates: Rates | None = None):
+        self.view, self.rates = view, rates
 
     def over(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray], merge=np.add, known: bool = False) -> np.ndarray | None:
         """f of the unlabelled rows (with known, of all rows) of each batch, merged; None without rows."""
 
+        rates = self.rates
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
                 if batch.num_rows:
-                    one = f(*_matrices(batch))
+                    one = f(*_matrices(batch, rates))
                     total = one if total is None else merge(total, one)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
         src = self.view if known else self.view.where("not known")
         total = None
-        for r in src.select("content", "meta").mapInArrow(run, "sums binary").collect():
+        for r in src.select("content", "meta", "lang", "source").mapInArrow(run, "sums binary").collect():
             one = np.frombuffer(r.sums)
             total = one if total is None else merge(total, one)
         return total
 
 
-def _matrices(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrices(rows: pa.RecordBatch | pa.Table, rates: Rates) -> tuple[np.ndarray, np.ndarray]:
     out = []
-    for name, width in (("content", len(content_features(""))), ("meta", len(meta_features(None, None, None)))):
+    for name, width in (("content", N_CONTENT), ("meta", N_META)):
         column = rows.column(name)
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         out.append(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-    return out[0], out[1]
+    return out[0], np.hstack([out[1], rates(_keys(rows))])
+
+
+def _keys(rows: pa.RecordBatch | pa.Table) -> tuple[list, list]:
+    return rows.column("lang").to_pylist(), rows.column("source").to_pylist()
 
 
 class CoTrained:
-    """Two classifiers that taught each other, their calibrations and the combination."""
+    """Two classifiers that taught each other, their calibrations and the combination.
+
+    fold tells the labelled rows apart: the last one is held back for the calibration.
+    exchanged has, for each round, how many labels content gave and how many metadata gave.
+    """
 
-    def __init__(self, xa: np.ndarray, xb: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = 5, per_round: float = 0.1):
+    def __init__(self, xa: np.ndarray, xb: np.ndarray, y: np.ndarray, fold: np.ndarray, pool: Pool, rounds: int = 5, per_round: float = 0.1):
+        self.rates, self.labelled, self.labelled_y, self.labelled_fold = pool.rates, (xa, xb), y, fold
         both = len(set(y.tolist())) == 2
         self.prior = float(y.mean()) if len(y) else 1.0
         self.fitted = both and len(y) >= 20
         if not self.fitted:
             return
-        n, *rest = np.split(pool.over(_moments, _merged, known=True), [1, 1 + xa.shape[1] + xb.shape[1]])
+        n, *rest = np.split(pool.over(lambda a, b: moments(np.hstack([a, b])), merged_moments, known=True), [1, 1 + xa.shape[1] + xb.shape[1]])
         (ma, mb), (va, vb) = (np.split(x, [xa.shape[1]]) for x in rest)
         self.sa, self.sb = sa, sb = Scaled(mean=ma, sd=np.sqrt(va / n)), Scaled(mean=mb, sd=np.sqrt(vb / n))
-        fold = np.arange(len(y)) % 5 == 4  # held back for the calibration
+        fold = fold == FOLDS - 1
         la, lb, t = sa(xa[~fold]), sb(xb[~fold]), y[~fold].astype(float)
         history: list[tuple] = []  # both models of a round and the logits from which they labelled
-        self.pool_rows = self.exchanged = 0
+        self.pool_rows, self.exchanged = 0, []
         w = [np.zeros(la.shape[1]), np.zeros(lb.shape[1])]
         cut = 2 + la.shape[1] + la.shape[1] ** 2
         for r in range(rounds + 1):
@@ -211,8 +230,8 @@ class CoTrained:
             by_a, by_b = np.split(counts[1:], 2)
             edges = [_threshold(c, int(per_round * self.pool_rows)) for c in (by_a, by_b)]
             if min(edges) == math.inf:
-                break
-            self.exchanged += int(sum(c[_EDGES >= e].sum() for c, e in zip((by_a, by_b), edges, strict=True)))
+                break  # neither view is sure of anything
+            self.exchanged.append(tuple(int(c[_EDGES >= e].sum()) for c, e in zip((by_a, by_b), edges, strict=True)))
             history.append((w[0], edges[0], w[1], edges[1]))
         self.wa, self.wb = w
         held = np.stack([self.sa(xa[fold]) @ self.wa, self.sb(xb[fold]) @ self.wb], 1)
@@ -237,29 +256,40 @@ def _sample(labels: DataFrame, label_col: str, max_labelled: int) -> DataFrame:
 
 def prepared(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The stored views with known: whether a row has one of the labels that are fitted on."""
-    ids = _sample(labels, label_col, max_labelled).select("id").distinct().withColumn("_known", F.lit(True))
-    return stored(views(docs).join(F.broadcast(ids), "id", "left").select("id", "content", "meta", F.coalesce("_known", F.lit(False)).alias("known")), "quality")
+    ids = _sample(labels, label_col, max_labelled).select("id").distinct().withColumn("known", F.lit(True))
+    return stored(views(docs).join(F.broadcast(ids), "id", "left").select("id", "content", "meta", "lang", "source", F.coalesce("known", F.lit(False)).alias("known")), "quality")
 
 
 def fit(view: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> CoTrained:
     """Fits prepared views on at most max_labelled labelled rows, those of the smallest hashes, and on all others.
 
     The two views exchange labels over all rows without a label, and features are scaled
-    by the figures of all rows: each step is a pass of Spark that returns sums.
+    by the figures of all rows: each step is a pass of Spark that returns sums. The
+    labelled rows come to the driver: some 300 bytes each, 15 MB at the bound.
     """
     lab = _sample(labels, label_col, max_labelled)
-    known = view.where("known").join(F.broadcast(lab), "id").select("id", "content", "meta", "y").orderBy(F.xxhash64("id", F.lit(9)), "y").limit(max_labelled).toArrow()
-    return CoTrained(*_matrices(known), known.column("y").to_numpy(), Pool(view))
+    known = view.where("known").join(F.broadcast(lab), "id").select("content", "meta", "lang", "source", "y").orderBy(F.xxhash64("id", F.lit(9)), "y").limit(max_labelled).toArrow()
+    y, keys = known.column("y").to_numpy(), _keys(known)
+    fold = np.arange(len(y)) % FOLDS
+    rates = Rates(keys, y)
+    xa, xb = _matrices(known, rates)
+    for k in range(FOLDS):  # a labelled row's rates don't know its own label
+        own = fold == k
+        other = tuple([v for v, o in zip(names, own, strict=True) if not o] for names in keys)
+        xb[own, N_META:] = Rates(other, y[~own])(tuple([v for v, o in zip(names, own, strict=True) if o] for names in keys))
+    return CoTrained(xa, xb, y, fold, Pool(view, rates))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality") -> DataFrame:
     """One row per input row: doc_id, score, content_score, meta_score (doubles, 1 is good), kept boolean.
 
-    Null and empty texts are scored by their own feature; null metadata has slots of
-    its own, missing metadata columns count as null, others are left out. Without
-    labels of both classes every score is the share of good labels (1 without any).
-    Repeated rows and ids stay. Texts are read once; their few figures go to the shared
-    folder and models and scores come from there.
+    Null and empty texts are scored by their own feature, long ones whole; null metadata
+    has slots of its own or the average rate, missing metadata columns count as null,
+    others are left out whatever their names. Without labels of both classes every score
+    is the share of good labels (1 without any); an empty table gives no rows. Of several
+    labels of one id all count; equal rows have equal scores. Repeated rows and null ids
+    stay. Texts are read once; their few figures go to the shared folder and models and
+    scores come from there.
     """
     view = prepared(docs, labels, label_col)
     model = fit(view, labels, label_col)
@@ -268,8 +298,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = [b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in (1, 2)]
-                s = model.scores(*x)
+                s = model.scores(*_matrices(b, model.rates))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, i]) for i in range(3)), pa.array(s[:, 0] >= threshold)], ["doc_id", "score", "content_score", "meta_score", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -277,16 +306,21 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, labe
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all their columns."""
+    """The rows of docs that the classifier doesn't reject, with all their columns.
+
+    As score(): null and empty texts are judged too, repeated rows alike, ids may be null
+    or repeated, extra columns of any name stay; an empty table stays empty.
+    """
     model = fit(prepared(docs, labels), labels)
 
     @F.pandas_udf("double")
     def good(text, lang, source, size):
         import pandas as pd
 
-        a = np.array([content_features(t) for t in text])
-        b = np.array([meta_features(l, s, None if pd.isna(n) else n) for l, s, n in zip(lang, source, size, strict=True)])
-        return pd.Series(model.scores(a, b)[:, 0] if len(a) else [], dtype=float)
+        if not len(text):
+            return pd.Series([], dtype=float)
+        a, b = _figures(text.tolist(), [None if pd.isna(n) else n for n in size])
+        keys = tuple([None if pd.isna(k) else k for k in names] for names in (lang, source))
+        return pd.Series(model.scores(a, np.hstack([b, model.rates(keys)]))[:, 0])
 
-    cols = [F.col(c).cast(k) if c in docs.columns else F.lit(None).cast(k) for c, k in zip(META, ("string", "string", "double"), strict=True)]
-    return docs.where(good(F.col("text").cast("string"), *cols) >= threshold)
+    return docs.where(good(F.col("text").cast("string"), *_meta_columns(docs)) >= threshold)
