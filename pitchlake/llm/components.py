@@ -58,7 +58,7 @@ def _in_one_task(e: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
-            a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+            a, b = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in (0, 1))
             ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
             forest = Forest(len(ids))
             forest.join(place[: len(a)], place[len(a) :])
@@ -72,8 +72,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     Up to ONE_TASK edges go to a union-find in one task. More take rounds: each writes its edges to the shared folder, so lineage stays short and lost executors cost
     one round, until one changes nothing. Minima are aggregated before the shuffle and
-    hot ids meet only their minimum, one row each. Ids are integers; null ends and loops
-    are ignored.
+    hot ids meet only their minimum, one row each. Both ways give the same components.
+    Ids are of any type with an order; null ends, loops and repeated edges are ignored,
+    an empty table gives no rows.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
     mark = F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("s")
