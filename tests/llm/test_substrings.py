@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from pitchlake.llm import substrings
 
@@ -59,8 +60,11 @@ def test_against_brute_force(spark, seed):
     assert result(spark, data) == brute(data)
 
 
-def test_small_blocks_and_pieces(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "BLOCK", 3)
+@pytest.mark.parametrize("block", [3, 40])
+def test_small_blocks_and_pieces(spark, monkeypatch, block):
+    """Buckets on both sides of a block's size; repeats told within and between small batches."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    monkeypatch.setattr(substrings, "LOCAL", 5)
     monkeypatch.setattr(substrings, "PIECE", 128)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     monkeypatch.setattr(substrings, "tuned", lambda s: s)
@@ -74,3 +78,26 @@ def test_repeated_rows_and_no_ids(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.repeats(df).collect())
     assert got == [(0, 0), (0, 0), (1, 149), (2, 120)]
     assert substrings.repeats(df.limit(0)).collect() == []
+
+
+def test_a_passage_in_most_documents_is_a_row_per_batch(spark):
+    """The census holds each repeated run once for a task, however many documents repeat it."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    df = spark.range(300).select(F.col("id"), F.concat(F.lit(passage), F.lit(" "), F.col("id").cast("string")).alias("text")).coalesce(2)
+    rows = substrings._census(df).where("kind = 0").groupBy("bucket", "context").count()
+    assert rows.agg(F.max("count")).first()[0] <= 2
+
+
+def test_tables_are_dropped(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    out = substrings.repeats(spark.createDataFrame([("b", "q" * 250), ("a", "q" * 150)], "doc_id string, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert sorted((r.doc_id, r.n_removed) for r in out.collect()) == [("a", 149), ("b", 250)]
+
+
+def test_very_long_text_and_many_short_ones(spark):
+    rng = random.Random(6)
+    long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(200_000))
+    data = {i: " ".join(rng.choices(["one", "two", "three"], k=4)) for i in range(50)} | {60: long + "|" + long[:5000], 61: "x" + long[100_000:100_150] + "y"}
+    got = {r[0]: r[2] for r in result(spark, data)}
+    assert got[60] == 5000 and got[61] == 150 and not any(got[i] for i in range(50))
