@@ -8,6 +8,8 @@ that the vectors suggest are then confirmed on the full shingle sets.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASES, binary_column, byte_codes, forget, frugal, mix, powers, slices, stored, tuned, utf8
+from .common import BASES, binary_column, byte_codes, forget, free_name, frugal, mix, powers, slices, stored, tuned, utf8
 from .components import Forest, components
 
 WORDS = 5
@@ -25,6 +27,10 @@ TOKENS = 96
 TREES, SECOND = 10, 0.18
 #: Documents of a node that are compared exhaustively; depth at which larger nodes are taken as they are.
 SMALL, DEPTH = 48, 4
+#: Depth to which nodes of a large group that has several classes are branched further.
+FAR = 40
+#: Chance of a second branch there: at the similarity asked for paths grow in number, so pairs outlive many levels.
+FAR_SECOND = 0.4
 #: A pair is confirmed on its sets if its vectors agree in this share less than the similarity asked for.
 SLACK = 0.16
 #: Documents of a group that one task confirms; larger groups are dealt out in chunks.
@@ -96,8 +102,12 @@ def tokens(sets: list[np.ndarray], k: int = TOKENS) -> np.ndarray:
     return out
 
 
+def _digest(shingles: np.ndarray | bytes) -> bytes:
+    return hashlib.blake2b(shingles if isinstance(shingles, bytes) else shingles.tobytes(), digest_size=16).digest()
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, two sums that stand for the set, and the packed tokens (null for an empty set), whole and as low bytes."""
+    """id, n_shingles, digest (128-bit BLAKE2 of the whole sorted set), and the packed tokens (null for an empty set), whole and as low bytes."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,16 +119,13 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             low: list[bytes | None] = [None] * len(sets)
             for i, v in zip(full, vectors, strict=True):
                 packed[i], low[i] = v.tobytes(), v.astype(np.uint8).tobytes()
-            with np.errstate(over="ignore"):
-                s1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                s2 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(s1), pa.array(s2), pa.array(packed, pa.binary()), pa.array(low, pa.binary())], ["id", "n_shingles", "s1", "s2", "tokens", "low"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), pa.array(packed, pa.binary()), pa.array(low, pa.binary())], ["id", "n_shingles", "digest", "tokens", "low"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, s1 long, s2 long, tokens binary, low binary")
+    return src.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, digest binary, tokens binary, low binary")
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
+def _branch(rows: DataFrame, level: int, second: float = SECOND) -> DataFrame:
     """(node, id) of the children of each row's node (node, id, tokens); at level 0 of the roots of all trees."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -135,7 +142,7 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             owners, children = [], []
             for choice in (1, 2):
                 h = mix(at + np.uint64(choice * 0x51ED27))
-                go = np.ones(len(h), bool) if choice == 1 else (mix(h) >> np.uint64(44)).astype(float) < SECOND * 2**20
+                go = np.ones(len(h), bool) if choice == 1 else (mix(h) >> np.uint64(44)).astype(float) < second * 2**20
                 c = (h[go] % np.uint64(v.shape[1])).astype(np.int64)
                 token = v[who[go], c].astype(np.uint64) | (c.astype(np.uint64) << np.uint64(32)) | np.uint64(choice << 48)
                 owners.append(who[go])
@@ -146,48 +153,63 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("node", "id", "tokens").mapInArrow(run, f"node long, id {kind}")
 
 
-def _compared(rows: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that span the documents of each node whose vectors agree in a share of least."""
+def _compared(rows: DataFrame, least: float, crossing: bool = False) -> DataFrame:
+    """Edges (a, b) of documents of one node whose vectors agree in a share of least: some that span what they tie
+    together, or with crossing all between documents of unlike class. Nodes have at most SMALL rows, or 2 * SMALL of several classes.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held: list[tuple] = []
         for b in batches:
             if not b.num_rows:
                 continue
             node = b.column(0).to_numpy()
             v = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            held.append((node, b.column(1).to_numpy(), v))
-            node, ids, v = (np.concatenate([x[i] for x in held]) for i in range(3))
-            cut = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on
+            more = (b.column(3).to_numpy(zero_copy_only=False),) if crossing else ()
+            held.append((node, b.column(1).to_numpy(zero_copy_only=False), v, *more))
+            joined = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            cut = int(np.searchsorted(joined[0], joined[0][-1], "left"))  # the last node may go on
             if cut:
-                yield node[:cut], ids[:cut], v[:cut]
-            held = [(node[cut:], ids[cut:], v[cut:])]
+                yield tuple(x[:cut] for x in joined)
+            held = [tuple(x[cut:] for x in joined)]
         if held:
             yield held[0]
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, ids, v in groups(batches):
+        id_type = None
+
+        def typed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal id_type
+            for b in given:
+                id_type = b.schema.field("id").type
+                yield b
+
+        for node, ids, v, *group in groups(typed(batches)):
             left, right = [], []
             bound = least * v.shape[1]
-            for step in range(1, SMALL):
+            step = 0
+            while True:
+                step += 1
                 i = np.flatnonzero(node[step:] == node[:-step]) if step < len(node) else np.zeros(0, int)
                 if not len(i):
                     break
+                if crossing:
+                    i = i[group[0][i] != group[0][i + step]]
                 for part in np.array_split(i, len(i) // 20000 + 1):
                     ok = (v[part] == v[part + step]).sum(1) >= bound
                     left.append(part[ok])
                     right.append(part[ok] + step)
             a = np.concatenate(left) if left else np.zeros(0, int)
             b = np.concatenate(right) if right else np.zeros(0, int)
-            if len(a):
+            if len(a) and not crossing:
                 tree = Forest(len(ids))
                 tree.join(a, b)
                 a, b = (np.concatenate([x[i] for x in tree.links]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], id_type), pa.array(ids[b], id_type)], ["a", "b"])
 
-    dealt = rows.repartition("node").sortWithinPartitions("node").select("node", "id", "low")
+    dealt = rows.repartition("node").sortWithinPartitions("node").select("node", "id", "low", *(["class"] if crossing else []))
     return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -270,11 +292,9 @@ def _confirm(sets: list[np.ndarray], percent: int, group: np.ndarray | None = No
     return links
 
 
-def _rank(packed: bytes) -> tuple[int, int, int]:
-    """n_shingles, s1, s2 of a packed set, as signed() gives them."""
-    s = np.frombuffer(packed, np.uint64)
-    with np.errstate(over="ignore"):
-        return len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s).sum(dtype=np.uint64).view(np.int64))
+def _rank(packed: bytes) -> tuple[int, bytes]:
+    """n_shingles and digest of a packed set, as signed() gives them."""
+    return len(packed) // 8, _digest(packed)
 
 
 def _confirmed(sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
@@ -336,14 +356,70 @@ def _shingled(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
     return src.mapInArrow(run, f"id {wanted.schema['id'].dataType.simpleString()}, shingles binary, {ddl}")
 
 
+def _chunked(rows: DataFrame, *by: str) -> DataFrame:
+    """by, n, chunks: into how many chunks the documents (with n_shingles) of each group are dealt."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+
+
+def _unsettled(reps: DataFrame, member: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is left to confirm between the classes of large groups: pairs (a, b); (id, grp), documents to be
+    compared with the whole class grp, which isn't theirs; (id, grp), documents to be compared with each other.
+
+    member (id, class) is branched by the trees again, now by class: a node whose
+    documents are of one class is done; small ones are compared on their vectors; one with
+    at most CHUNK documents outside its largest class has these compared with each other
+    and with that class; larger ones branch on until they fall apart, as groups do that
+    are alike only in part. What is larger still after FAR levels is compared all the same.
+    """
+    pairs: list[DataFrame] = []
+    whole: list[DataFrame] = []
+    inside: list[DataFrame] = []
+    known = member.join(reps.select("id", "tokens"), "id")
+    rows = _branch(known.select(F.lit(0).cast("long").alias("node"), "id", "tokens"), 0, FAR_SECOND)
+    for level in range(1, FAR + 1):
+        tagged = rows.join(member, "id")
+        per = tagged.groupBy("node", "class").agg(F.count("*").alias("k"))
+        nodes = per.groupBy("node").agg(F.sum("k").alias("n"), F.max(F.struct("k", "class")).alias("m"), F.count("*").alias("classes")).where("n > m.k").select("node", "n", "classes", F.col("m.class").alias("main"), (F.col("n") - F.col("m.k")).alias("outside"))
+        shared = stored(tagged.join(nodes, "node"), "unsettled")
+        small, done = F.col("n") <= SMALL, F.lit(True) if level == FAR else F.col("outside") <= CHUNK
+        pairs.append(stored(_compared(shared.where(small).join(reps.select("id", "low"), "id").select("node", "id", "low", "class"), least, True), "pairs"))
+        outer = shared.where(~small & done & (F.col("class") != F.col("main")))
+        # a large class is searched as a whole, once for a document, whatever nodes they share
+        whole.append(stored(outer.select("id", F.col("main").alias("grp")).distinct(), "whole"))
+        inside.append(stored(outer.where("classes > 2").select("id", F.col("node").alias("grp")), "inside"))
+        rest = shared.where(~small & ~done).select("node", "id")
+        if level == FAR or rest.isEmpty():
+            forget(shared)
+            break
+        rows = stored(_branch(rest.join(reps.select("id", "tokens"), "id"), level, FAR_SECOND), "branches")
+        forget(shared)
+    one = lambda parts: functools.reduce(DataFrame.unionByName, parts).distinct()
+    return one(pairs), one(whole), one(inside)
+
+
+def _against(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Keys under which rows (grp, id, class, n_shingles) of outer meet those of inner of their group: id, component, outer, key.
+
+    inner is dealt into chunks and outer into blocks, one for most groups; each chunk meets each block.
+    """
+    chunks, blocks = _chunked(inner, "grp").select("grp", "chunks"), _chunked(outer, "grp").select("grp", F.col("chunks").alias("blocks"))
+    sizes = stored(chunks.join(blocks, "grp"), "sizes")
+    place = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = inner.join(sizes, "grp").withColumn("chunk", place(0, "chunks")).withColumn("block", each("blocks")).withColumn("outer", F.lit(False))
+    b = outer.join(sizes, "grp").withColumn("block", place(2, "blocks")).withColumn("chunk", each("chunks")).withColumn("outer", F.lit(True))
+    cols = ["id", F.col("class").alias("component"), "outer", F.xxhash64("grp", "chunk", "block").alias("key")]
+    return a.select(*cols).unionByName(b.select(*cols)).groupBy("id", "key").agg(F.first("component").alias("component"), F.max("outer").alias("outer"))
+
+
 def _links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that span the classes of similar representatives."""
     suggested = _suggested(reps, percent / 100)
     near = stored(components(suggested, "suggested").join(reps.select("id", "n_shingles"), "id"), "near")
-    sizes = near.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    sizes = _chunked(near, "component")
     placed = near.join(sizes.select("component", "chunks"), "component")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    big = sizes.where("chunks > 1")
+    big = sizes.where("chunks > 1").select("component", "chunks")
     spread = not big.isEmpty()
     if spread:
         # a few documents of a large group stand in each of its chunks, and so tie them together
@@ -355,21 +431,19 @@ def _links(docs: DataFrame, id_col: str, text_col: str, reps: DataFrame, percent
     links = stored(_confirmed(shingled.withColumn("key", F.xxhash64("key.component", "key.chunk")), percent, False), "links")
     if not spread:
         return links
-    # second round, only for large groups that still have several classes: all pairs with a document outside the largest class
+    # second round: documents of one chunk are settled, those of unlike chunks only if they are of one class by now
     classes = components(links, "links").withColumnRenamed("component", "class")
-    member = near.join(big, "component").join(classes, "id", "left").select("id", "component", F.coalesce("class", "id").alias("class"), "chunks", "n_shingles")
-    per = member.groupBy("component", "class").agg(F.count("*").alias("k"))
-    main = per.groupBy("component").agg(F.max(F.struct("k", "class"))["class"].alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    member = member.join(main.select("component", "main"), "component").withColumn("outer", F.col("class") != F.col("main"))
-    member = stored(member.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")), "large")
-    blocks = member.where("outer").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n_shingles") / CHUNK_SHINGLES)).cast("int").alias("blocks"))
-    member = member.join(blocks, "component")
-    block = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")).cast("int")
-    inner = member.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outer", F.lit(False))
-    outers = member.where("outer").withColumn("block", block).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = inner.select("id", "class", "outer", F.xxhash64("component", "chunk", "block").alias("key")).unionByName(outers.select("id", "class", "outer", F.xxhash64("component", "chunk", "block").alias("key")))
-    rows = rows.groupBy("id", "key").agg(F.first("class").alias("component"), F.max("outer").alias("outer"))
-    return links.unionByName(_confirmed(_shingled(docs, id_col, text_col, rows), percent, True))
+    member = near.join(big, "component").join(classes, "id", "left").select("id", "component", F.coalesce("class", "id").alias("class"), "n_shingles")
+    several = member.groupBy("component").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("component")
+    member = stored(member.join(several, "component", "left_semi").select("id", "class", "n_shingles"), "large")
+    if member.isEmpty():
+        return links
+    pairs, whole, inside = _unsettled(reps, member.select("id", "class"), max(0.3, percent / 100 - SLACK))
+    stars = pairs.select(F.col("a").alias("hub"), F.col("b").alias("id")).unionByName(pairs.select(F.col("a").alias("hub"), F.col("a").alias("id")).distinct())
+    links = links.unionByName(_confirmed(_shingled(docs, id_col, text_col, stars.select("id", F.xxhash64("hub", F.lit(3)).alias("key"))), percent, False))
+    own = member.join(whole.select(F.col("grp").alias("class")).distinct(), "class", "left_semi").withColumn("grp", F.col("class"))
+    met = _against(own, whole.join(member, "id")).unionByName(_against(inside.join(member, "id"), inside.join(member, "id")))
+    return links.unionByName(_confirmed(_shingled(docs, id_col, text_col, met), percent, True))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -377,19 +451,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
     Links are pairs of shingle sets with 100 * intersection >= percent * union; a
     component is what links reach, named by its smallest id, and kept marks that id.
-    Null and empty texts have 0 shingles and link with nothing. Documents of equal sets
-    are one class and only its smallest id is searched for. Rows that repeat an id count
-    once: the one of the smallest (n_shingles, set). Rows with a null id are left out;
-    extra columns are ignored. Sets are held as 64-bit hashes of words.
+    Null and empty texts have 0 shingles and link with nothing; long texts are taken
+    whole. Documents of equal sets (size and 128-bit digest of the whole set) are one
+    class and only its smallest id is searched for. Rows that repeat an id count once:
+    the one of the smallest (n_shingles, digest). Rows with a null id are left out, an
+    empty table gives no rows; extra columns are ignored whatever their names. Ids are of
+    any type with an order. Sets are held as 64-bit hashes of words.
     """
     tuned(docs.sparkSession)
     docs = docs.where(F.col(id_col).isNotNull())
     all_rows = stored(signed(docs, id_col, text_col), "signed")
-    once = all_rows.groupBy("id").agg(F.min(F.struct("n_shingles", "s1", "s2")).alias("k")).select("id", "k.*")
-    classes = once.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("id").alias("rep"))
-    member = stored(once.join(classes, ["n_shingles", "s1", "s2"], "left").select("id", "n_shingles", "s1", "s2", F.coalesce("rep", "id").alias("rep")), "classes")
-    own = member.where("id = rep and n_shingles > 0").select("id", "n_shingles", "s1", "s2")
-    reps = stored(all_rows.join(own, ["id", "n_shingles", "s1", "s2"]).dropDuplicates(["id"]).select("id", "n_shingles", "tokens", "low"), "reps")
+    once = all_rows.groupBy("id").agg(F.min(F.struct("n_shingles", "digest")).alias("k")).select("id", "k.*")
+    classes = once.where("n_shingles > 0").groupBy("n_shingles", "digest").agg(F.min("id").alias("rep"))
+    member = stored(once.join(classes, ["n_shingles", "digest"], "left").select("id", "n_shingles", "digest", F.coalesce("rep", "id").alias("rep")), "classes")
+    own = member.where("id = rep and n_shingles > 0").select("id", "n_shingles", "digest")
+    reps = stored(all_rows.join(own, ["id", "n_shingles", "digest"]).dropDuplicates(["id"]).select("id", "n_shingles", "tokens", "low"), "reps")
     forget(all_rows)
     links = _links(docs, id_col, text_col, reps, percent)
     found = components(links, "near").select(F.col("id").alias("rep"), F.col("component"))
@@ -401,15 +477,18 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
     """The rows of docs that aren't near-duplicates of a smaller id, with all their columns.
 
     Rows without an id stay; rows that repeat an id and its text count once. Unlike texts
-    of one id are documents of their own, in the order of their digests.
+    of one id are documents of their own, in the order of their digests. Null and empty
+    texts are near nothing and stay, long ones are compared whole; an empty table stays
+    empty, and extra columns of any name keep their values.
     """
-    named = docs.where(F.col(id_col).isNotNull()).withColumn("_own", F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit("")))
-    unlike = named.groupBy(id_col).agg(F.min("_own").alias("a"), F.max("_own").alias("b")).where("a <> b")
-    key = id_col
-    if not unlike.isEmpty():
-        key = "_key"
-        keys = named.select(id_col, "_own").distinct().orderBy(id_col, "_own").withColumn("_key", F.monotonically_increasing_id())
-        named = named.join(stored(keys, "keys"), [id_col, "_own"])
-    drop = near_duplicates(named, percent, key, text_col).where("not kept").select(key)
-    kept = named.join(drop, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
+    own, key = free_name(docs, "_own"), free_name(docs, "_key")
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(own, F.coalesce(F.md5(F.col(text_col).cast("string").cast("binary")), F.lit("")))
+    unlike = named.groupBy(id_col).agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a <> b")
+    if unlike.isEmpty():
+        key = id_col
+    else:
+        keys = named.select(id_col, own).distinct().orderBy(id_col, own).withColumn(key, F.monotonically_increasing_id())
+        named = named.join(stored(keys, "keys"), [id_col, own])
+    drop = near_duplicates(named.select(key, text_col), percent, key, text_col).where("not kept").select(key)
+    kept = named.join(drop, key, "left_anti").dropDuplicates([key]).select(*(f"`{c}`" for c in docs.columns))
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
