@@ -32,10 +32,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     A task splits its texts into words, has each distinct word encoded once by the
     library and decoded once through the id-to-piece table, and joins both back by
-    position. Null text is empty (0 tokens, empty ids and text); texts with special
-    tokens or with code points beyond Latin go to the library whole. Repeated rows
-    and repeated or null ids are kept as they are; other columns are left out.
-    Nothing is shuffled; a lost task is recomputed from its own rows.
+    position. Null and empty texts have 0 tokens, empty ids and text; long texts are
+    encoded whole; texts with special tokens or with code points beyond Latin go to the
+    library whole. Repeated rows, ties of ids and null ids are kept as they are, an empty
+    table gives no rows; other columns are left out whatever their names. Nothing is
+    shuffled; a lost task is recomputed from its own rows.
     """
     path = tokenizer_file(tokenizer)
     tuned(docs.sparkSession)

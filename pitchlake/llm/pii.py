@@ -203,10 +203,10 @@ def fit(counts: dict[str, int]) -> dict[str, float]:
 _SPAN = pa.struct([("start", pa.int64()), ("kind_no", pa.int32()), ("end", pa.int64()), ("kind", pa.string()), ("base", pa.bool_()), ("pattern", pa.string())])
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of keep and spans: all base and candidate spans with their votes."""
+def candidates(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
+    """_id (if asked for) and _spans: all base and candidate spans with their votes."""
     tuned(docs.sparkSession)
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    src = docs.select(*([F.col(id_col).alias("_id")] if id_col else []), F.col(text_col).cast("string").alias("_text"))
     kind = "array<struct<start:long,kind_no:int,end:long,kind:string,base:boolean,pattern:string>>"
 
     @frugal
@@ -217,10 +217,10 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...
                 base = base_spans(text)
                 own = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in more_spans(text, base)]
                 rows.append([{"start": s, "kind_no": KINDS.index(k), "end": e, "kind": k, "base": is_base, "pattern": f"{k}|{votes(text, s, e, k)}"} for s, e, k, is_base in own])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, pa.list_(_SPAN))], [*b.schema.names, "_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, pa.list_(_SPAN))], [*b.schema.names[:-1], "_spans"])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields)
-    return src.mapInArrow(run, f"{ddl}, _spans {kind}")
+    ddl = f"_id {src.schema['_id'].dataType.simpleString()}, " if id_col else ""
+    return src.mapInArrow(run, f"{ddl}_spans {kind}")
 
 
 def judged(found: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -248,11 +248,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     """One row per input row: id, n_email, n_ip, n_card, n_phone (base spans), base and spans
     (comma-joined kind:start:end, code points, by start, then kind).
 
-    Null and empty texts have no spans (counts 0, empty strings). Repeated rows and ids
-    stay; extra columns are left out. Texts are read once; spans go to the shared folder
+    Null and empty texts have no spans (counts 0, empty strings), long ones are read
+    whole, an empty table gives no rows. Spans that begin at one place are told apart by
+    kind in the order of KINDS. Repeated rows, ties of ids and null ids stay; extra columns
+    are left out whatever their names. Texts are read once; spans go to the shared folder
     and votes are counted from there.
     """
-    found = stored(candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), "_id", "_t", ("_id",)).drop("_text"), "pii")
+    found = stored(candidates(docs, text_col, id_col), "pii")
     out = judged(found, threshold)
     base = F.filter("_spans", lambda s: s["base"])
     counts = [F.size(F.filter(base, _of(k))).cast("long").alias(f"n_{k}") for k in BASE]
@@ -262,11 +264,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def mask(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with each found span replaced by its kind in angle brackets; overlapping spans are replaced together.
 
-    All columns and rows stay; n_chars, if there, is counted anew. Null stays null.
+    All columns of any name and all rows stay, repeated ones and those without an id too;
+    n_chars, if there, is counted anew. Null stays null, empty stays empty, long texts are
+    masked whole, an empty table stays empty.
     """
-    names = [c for c in docs.columns if c != text_col]
     # candidates are found again for the second pass rather than all texts stored
-    found = candidates(docs, "", text_col, tuple(names))
+    found = candidates(docs, text_col)
     pattern_rows = found.select(F.explode("_spans").alias("s")).groupBy("s.pattern").count().collect()
     scores = fit({r["pattern"]: r["count"] for r in pattern_rows})
     taken = {k for k, p in scores.items() if p >= threshold}

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from pitchlake.llm import pii
 
 PLAIN = {
@@ -74,3 +76,12 @@ def test_em_finds_the_reliable_labelers():
     post, p, _ = pii.em(v, np.ones(4000))
     assert ((post > 0.5) == truth).mean() > 0.93
     assert p[0, 1, 1] > p[3, 1, 1] + 0.2
+
+
+def test_mask_keeps_columns_of_any_name(spark):
+    rows = [(1, "mail a.b@c.com now", "x", 3), (None, None, "y", None), (2, "", "z", 0), (2, "x" * 200_000 + " +1 234 567 8901", "q", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _spans int").withColumn("_id", F.lit("i"))
+    out = pii.mask(df)
+    assert out.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text and r.text[-8:], r._text, r._spans, r._id) for r in out.collect()) == [(0, None, "y", None, "i"), (1, "AIL> now", "x", 3, "i"), (2, "", "z", 0, "i"), (2, " <PHONE>", "q", 1, "i")]
+    assert pii.find(df).count() == 4 and pii.mask(df.limit(0)).collect() == []
