@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,23 +69,32 @@ def crop_rect(cx: Column, cy: Column, w: int, h: int, frame_w: int, frame_h: int
     return side(cx, w, frame_w), side(cy, h, frame_h)
 
 
-def crop_fit(frame_w: int, frame_h: int, out_w: int, out_h: int) -> tuple[int, int]:
-    """Largest crop of the output's shape within the frame."""
-    if frame_w * out_h > frame_h * out_w:
-        return int(frame_h * out_w / out_h), frame_h
-    return frame_w, int(frame_w * out_h / out_w)
+def crop_fit(frame_w: Column, frame_h: Column, out_w: int, out_h: int) -> tuple[Column, Column]:
+    """Largest crop of the output's shape within the frame, cut to whole pixels."""
+    wide = frame_w * out_h > frame_h * out_w
+    return F.when(wide, (frame_h * out_w / out_h).cast("long")).otherwise(frame_w), F.when(wide, frame_h).otherwise((frame_w * out_h / out_w).cast("long"))
 
 
-def torso_rect(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, ...]:
-    """20 to 55 % of the height without 20 % at either side."""
+def _part_rect(box: tuple[Column, ...], least: tuple[float, float], side: float, top: float, bottom: float, result: int, frame: tuple[int, int]) -> tuple[Column, ...]:
+    """Whole pixels (halves to even) of a part of a box, kept in the frame; null for boxes and parts that are too small."""
+    x1, y1, x2, y2 = box
     w, h = x2 - x1, y2 - y1
-    return tuple(v.cast("long") for v in (x1 + w * 0.2, y1 + h * 0.2, x2 - w * 0.2, y1 + h * 0.55))
+    whole = lambda c: F.bround(c).cast("long")
+    low = lambda c: F.greatest(F.lit(0).cast("long"), whole(c))
+    high = lambda c, most: F.least(F.lit(most).cast("long"), whole(c))
+    part = (low(x1 + w * side), low(y1 + h * top), high(x2 - w * side, frame[0]), high(y1 + h * bottom, frame[1]))
+    fits = (w >= least[0]) & (h >= least[1]) & (part[2] - part[0] >= result) & (part[3] - part[1] >= result)
+    return tuple(F.when(fits, c) for c in part)
 
 
-def number_rect(x1: Column, y1: Column, x2: Column, y2: Column) -> tuple[Column, ...]:
-    """The top 55 % without 10 % at either side."""
-    w, h = x2 - x1, y2 - y1
-    return tuple(v.cast("long") for v in (x1 + w * 0.1, y1, x2 - w * 0.1, y1 + h * 0.55))
+def torso_rect(x1: Column, y1: Column, x2: Column, y2: Column, frame: tuple[int, int] = (1920, 1080)) -> tuple[Column, ...]:
+    """20 to 55 % of the height without 20 % at either side, of boxes of 4 x 8 and more; at least 2 x 2."""
+    return _part_rect((x1, y1, x2, y2), (4, 8), 0.2, 0.2, 0.55, 2, frame)
+
+
+def number_rect(x1: Column, y1: Column, x2: Column, y2: Column, frame: tuple[int, int] = (1920, 1080)) -> tuple[Column, ...]:
+    """The top 55 % without 10 % at either side, of boxes of 12 x 24 and more; at least 8 x 8."""
+    return _part_rect((x1, y1, x2, y2), (12, 24), 0.1, 0.0, 0.55, 8, frame)
 
 
 def legible(w: Column, h: Column, deviation: Column, side: float = 16, least: float = 18.0) -> Column:
@@ -101,12 +112,64 @@ def roi_scaled(x1: Column, y1: Column, x2: Column, y2: Column, k: float = 1.125,
 
 
 def hull_distance(x: Column, y: Column, hull: list[tuple[float, float]]) -> Column:
-    """Signed distance to a convex polygon given counter-clockwise in (x, y): positive inside, by the nearest side's line."""
-    sides = []
+    """Signed distance to a convex polygon given counter-clockwise in (x, y): to its nearest border point, positive inside."""
+    far, within = [], []
     for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
-        n = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        sides.append(((x - ax) * -(by - ay) + (y - ay) * (bx - ax)) / n)
-    return F.least(*sides)
+        dx, dy = bx - ax, by - ay
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)))
+        far.append(F.hypot(x - (ax + share * dx), y - (ay + share * dy)))
+        within.append((x - ax) * -dy + (y - ay) * dx)
+    return F.least(*far) * F.when(F.least(*within) >= 0, 1.0).otherwise(-1.0)
+
+
+def zone_or_side(fx: Column, fy: Column, px: Column, width: float, share: float = 0.2) -> Column:
+    """Goal zone of a position on the field; without one, the side of the image whose outer share holds the ball."""
+    side = F.when(px < width * share, "left").when(px > width * (1 - share), "right")
+    return F.when(fx.isNotNull() & fy.isNotNull(), goal_zone(fx, fy)).otherwise(side)
+
+
+def kept_person(known: Column, field: tuple[Column, Column], pixel: tuple[Column, Column], frame: tuple[int, int] = (1920, 1080)) -> Column:
+    """Whether a person's foot is on the field, or in the middle of the image where no homography is known."""
+    return F.when(known, on_field(*field)).otherwise(in_central_part(*pixel, *frame))
+
+
+def over_threshold(confidence: Column, given: Column | float | None, default: float) -> Column:
+    """At least the threshold given; none or 0 means the default."""
+    least = F.lit(default) if given is None else F.coalesce(F.nullif(given if isinstance(given, Column) else F.lit(float(given)), F.lit(0.0)), F.lit(default))
+    return confidence >= least
+
+
+def even_starts(duration: Column, n: int, margin: float = 60.0, clip: float = 15.0) -> Column:
+    """Start times of n clips spread evenly within margins; one clip starts in the middle."""
+    if n <= 1:
+        return F.array(F.greatest(F.lit(0.0), duration / 2))
+    span = F.greatest(F.lit(0.0), duration - 2 * margin - clip)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(margin) + span * i / (n - 1))
+
+
+def corners_sane(corners: list[tuple[Column, Column]], frame: tuple[int, int] = (1920, 1080), margin: float = 0.3) -> Column:
+    """Whether all corners are there and none is farther outside the frame than margin of its size."""
+    inside = [x.between(-frame[0] * margin, frame[0] * (1 + margin)) & y.between(-frame[1] * margin, frame[1] * (1 + margin)) for x, y in corners]
+    return F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
+
+
+def lab_colour(b: Column, g: Column, r: Column) -> tuple[Column, Column, Column]:
+    """L, a, b (CIE, D65) of a colour given as 0..255 blue, green, red."""
+
+    def linear(c: Column) -> Column:
+        s = c / 255.0
+        return F.when(s <= 0.04045, s / 12.92).otherwise(F.pow((s + 0.055) / 1.055, 2.4))
+
+    def curve(t: Column) -> Column:
+        return F.when(t > 0.008856, F.pow(t, 1 / 3)).otherwise(7.787 * t + 16 / 116)
+
+    # sRGB primaries and the white point of D65.
+    rl, gl, bl = linear(r), linear(g), linear(b)
+    x = curve((0.412453 * rl + 0.357580 * gl + 0.180423 * bl) / 0.950456)
+    y_ = 0.212671 * rl + 0.715160 * gl + 0.072169 * bl
+    z = curve((0.019334 * rl + 0.119193 * gl + 0.950227 * bl) / 1.088754)
+    y = curve(y_)
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
 
 
 def line_crossing(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column]:

@@ -114,12 +114,17 @@ class Registry:
         return [e for e in engines if e.is_available()]
 
     def run(self, context: Context, names: Iterable[str] | None = None) -> DataFrame | None:
-        """Events of all engines; source defaults to the engine's name."""
+        """Events of all engines in order of time (none counts as 0), then of engines; source defaults to the engine's name."""
         parts = []
-        for e in self.resolve(names):
+        for i, e in enumerate(self.resolve(names)):
             got = e.detect(context)
-            parts.append(got if "source" in got.columns else got.withColumn("source", F.lit(e.name)))
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+            got = got if "source" in got.columns else got.withColumn("source", F.lit(e.name))
+            parts.append(got.withColumn("_engine", F.lit(i)))
+        if not parts:
+            return None
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        ts = F.coalesce("ts_ms", F.lit(0)) if "ts_ms" in every.columns else F.lit(0)
+        return every.orderBy(ts, "_engine", *(c for c in ("match_id", "frame") if c in every.columns)).drop("_engine")
 
 
 def default_registry() -> Registry:

@@ -23,16 +23,18 @@ def admission(candidates: DataFrame, manifest: DataFrame, order: str, per_channe
         .when(F.col("duration") < min_duration, "too_short")
     )
     known = manifest.select(F.col("id").alias("_mid")).distinct().withColumn("_seen", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("id").orderBy(order)) == 1
-    c = candidates.withColumn("_own", own).withColumn("_first", first).join(known, F.col("id") == F.col("_mid"), "left").drop("_mid")
-    c = c.withColumn("_early", F.when(F.coalesce("_seen", F.lit(False)) | ~F.col("_first"), "seen").otherwise(F.col("_own")))
+    w = Window.partitionBy("id").orderBy(order)
+    # a row's own number tells apart rows of one id, also where order has ties
+    c = candidates.withColumn("_own", own).withColumn("_nth", F.row_number().over(w)).join(known, F.col("id") == F.col("_mid"), "left").drop("_mid")
+    c = c.withColumn("_early", F.when(F.coalesce("_seen", F.lit(False)) | (F.col("_nth") > 1), "seen").otherwise(F.col("_own")))
     before = manifest.groupBy(F.col("channel").alias("_mc")).agg(F.count("*").alias("_had"))
     c = c.join(before, c["channel"].eqNullSafe(F.col("_mc")), "left")
-    turn = F.row_number().over(Window.partitionBy("channel", F.col("_early").isNull()).orderBy(order))
+    turn = F.row_number().over(Window.partitionBy("channel", F.col("_early").isNull()).orderBy(order, "id"))
     c = c.withColumn("_ok", F.col("_early").isNull() & (turn + F.coalesce("_had", F.lit(0)) <= per_channel))
-    # the first target rows that pass: a running count over all of them, by range partitions would need two passes
-    passed = c.where("_ok").select(order).orderBy(order).limit(target)
-    c = c.withColumn("_all", F.lit(manifest.count())).join(passed.withColumn("_in", F.row_number().over(Window.orderBy(order))), order, "left")  # at most target rows
+    # the first target rows that pass, with their turn: at most target rows; the ledger's size is one row
+    passed = c.where("_ok").select(F.col("id").alias("_pid"), order).orderBy(order, "_pid").limit(target)
+    passed = passed.withColumn("_in", F.row_number().over(Window.orderBy(order, "_pid"))).select("_pid", "_in")
+    c = c.join(passed, F.col("_ok") & (F.col("id") == F.col("_pid")), "left").crossJoin(F.broadcast(manifest.agg(F.count("*").alias("_all"))))
     reason = F.coalesce("_early", F.when(~F.col("_ok"), "channel_cap").when(F.col("_in").isNotNull() & (F.col("_in") + F.col("_all") <= target), "kept").otherwise("target"))
     return c.select(*candidates.columns, reason.alias("reason"))
 

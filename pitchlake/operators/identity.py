@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import lab_colour
 from ..functions.labels import colour_name
 
 
@@ -43,16 +44,32 @@ def track_colours(samples: DataFrame, key: list[str], least: int = 3) -> DataFra
     return g.withColumn("colour", colour_name(F.col("b"), F.col("g"), F.col("r")))
 
 
-def two_teams(medians: DataFrame, key: list[str], columns: tuple[str, ...] = ("b", "g", "r"), seed: int = 7) -> DataFrame:
-    """key, team: tracks in two clusters of colour, named after the mean colour; a lone track is team_a."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+def two_teams(medians: DataFrame, key: list[str], columns: tuple[str, str, str] = ("b", "g", "r"), rounds: int = 20) -> DataFrame:
+    """key, cluster (team_a, team_b), team: tracks in two clusters of colour, named after the mean colour.
 
-    # n is 0, 1 or more: a limit of 2 tells
-    if len(medians.limit(2).take(2)) < 2:
-        return medians.select(*key, F.lit("team_a").alias("team"))
-    v = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(medians)
-    c = KMeans(k=2, seed=seed, featuresCol="_v", predictionCol="_team").fit(v).transform(v)
-    mean = c.groupBy("_team").agg(*(F.avg(x).alias(x) for x in columns))
-    names = mean.select("_team", F.concat(colour_name(*(F.col(x) for x in columns)), F.lit("_"), F.col("_team").cast("string")).alias("team"))
-    return c.join(F.broadcast(names), "_team").select(*key, "team")  # two rows
+    Two means in L, a, b from fixed starts: the darkest and the lightest track (ties by
+    the other axes, then by key); a track as near to both goes with the first. Each round is
+    one aggregation to two rows of means. A lone track is team_a.
+    """
+    axes = ("_l", "_a", "_b")
+    lab = medians.withColumns(dict(zip(axes, lab_colour(*(F.col(c) for c in columns)), strict=True)))
+    place = F.struct(*axes, *key)
+    ends = lab.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
+    if ends["a"] is None:
+        return medians.select(*key, F.lit(None).cast("string").alias("cluster"), F.lit(None).cast("string").alias("team"))
+    centres = [[float(ends[n][x]) for x in axes] for n in ("a", "b")]
+
+    def second(c: list[list[float]]) -> F.Column:
+        away = [sum((F.col(x) - v) * (F.col(x) - v) for x, v in zip(axes, own, strict=True)) for own in c]
+        return away[1] < away[0]
+
+    for _ in range(rounds):
+        means = lab.groupBy(second(centres).alias("s")).agg(*(F.avg(x).alias(x) for x in axes)).collect()  # two rows
+        new = [next(([float(m[x]) for x in axes] for m in means if m["s"] == side), centres[side]) for side in (False, True)]
+        if new == centres:
+            break
+        centres = new
+    c = lab.withColumn("_s", second(centres))
+    mean = c.groupBy("_s").agg(*(F.avg(x).alias(x) for x in columns))
+    names = mean.select("_s", F.when(F.col("_s"), "team_b").otherwise("team_a").alias("cluster"), colour_name(*(F.col(x) for x in columns)).alias("team"))
+    return c.join(F.broadcast(names), "_s").select(*key, "cluster", "team")  # two rows

@@ -72,15 +72,15 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, value: str) -> DataFrame:
     return rows.join(table.groupBy(on).agg(F.min(value).alias(value)), on, "left")
 
 
-def event_filter(events: DataFrame, label: str | None = None, team: str | None = None, track: int | None = None, lanes: DataFrame | None = None) -> DataFrame:
-    """Rows that meet all conditions given; team ignores case, null counts as empty text.
+def event_filter(events: DataFrame, label: str | list[str] | None = None, team: str | None = None, track: int | None = None, lanes: DataFrame | None = None) -> DataFrame:
+    """Rows that meet all conditions given; label may be a list; team ignores case, null counts as empty text.
 
     track and lanes (a table with a column track) are one set of tracks; an empty one
     lets nothing through, a null track is in none.
     """
     out = events
     if label is not None:
-        out = out.where(F.col("label") == label)
+        out = out.where(F.col("label").isin([label] if isinstance(label, str) else list(label)))
     if team is not None:
         out = out.where(F.lower(F.coalesce("team", F.lit(""))) == team.lower())
     if lanes is not None:
@@ -100,5 +100,17 @@ def lanes_for(votes: DataFrame, roster: DataFrame, number: Column | None = None,
     if name is None:
         return votes.where("false").select("track")
     same = lambda c: F.lower(F.trim(c)) == name.strip().lower()
-    hit = roster.where(same(F.col("name"))).agg(F.min("jersey")).first()[0]
-    return votes.where(F.col("jersey") == hit if hit is not None else same(F.coalesce("name", F.lit("")))).select("track").distinct()
+    # one row: the number, or null if the roster doesn't have the name
+    hit = roster.where(same(F.col("name"))).agg(F.min("jersey").alias("_hit"))
+    found = votes.crossJoin(F.broadcast(hit)).where(F.when(F.col("_hit").isNotNull(), F.col("jersey") == F.col("_hit")).otherwise(same(F.coalesce("name", F.lit("")))))
+    return found.select("track").distinct()
+
+
+def by_frames(rows: DataFrame, frames: DataFrame | None, frame: str = "frame") -> DataFrame:
+    """rows of the listed frames; no list keeps all."""
+    return rows if frames is None else rows.join(frames.select(frame).distinct(), frame, "left_semi")
+
+
+def named(votes: DataFrame, roster: DataFrame) -> DataFrame:
+    """votes with the name of their jersey in the roster (its first by name), null without one."""
+    return votes.join(roster.where("jersey is not null").groupBy("jersey").agg(F.min("name").alias("name")), "jersey", "left")

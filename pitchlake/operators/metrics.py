@@ -82,3 +82,30 @@ def best_ball(df: DataFrame, key: list[str], confidence: str, tie: str) -> DataF
     rest = [c for c in df.columns if c not in key]
     top = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(F.col(confidence), -F.col(tie))).alias("_b"))
     return top.select(*key, *(F.col(f"_b.{c}").alias(c) for c in rest))
+
+
+def of_class(detections: DataFrame, *classes: int, class_id: str = "class_id") -> DataFrame:
+    """Detections of some classes."""
+    return detections.where(F.col(class_id).isin(*classes))
+
+
+def detection_summary(detections: DataFrame, frame: str = "frame", class_id: str = "class_id", ball: int = 0) -> DataFrame:
+    """One row: frames, mean_n detections per frame, share with_ball."""
+    f = detections.groupBy(frame).agg(F.count("*").alias("n"), F.max((F.col(class_id) == ball).cast("int")).alias("ball"))
+    return f.agg(F.count("*").alias("frames"), F.avg("n").alias("mean_n"), F.avg("ball").alias("with_ball"))
+
+
+def coverage(samples: DataFrame, key: list[str], seen: str = "visible", frame: str = "frame") -> DataFrame:
+    """key, coverage (share of samples in which the ball is seen), frames."""
+    return samples.groupBy(*key).agg(F.avg(F.col(seen).cast("double")).alias("coverage"), F.count_distinct(frame).alias("frames"))
+
+
+def unique_tracks(rows: DataFrame, key: list[str], track: str = "track") -> DataFrame:
+    """key, tracks: how many tracks there are."""
+    return rows.groupBy(*key).agg(F.count_distinct(track).alias("tracks"))
+
+
+def success_rate(attempts: DataFrame, key: list[str], value: str) -> DataFrame:
+    """key, ok, total, rate: attempts that gave a value; enough is whether at least half did."""
+    g = attempts.groupBy(*key).agg(F.count(value).alias("ok"), F.count("*").alias("total"))
+    return g.withColumn("rate", F.col("ok") / F.col("total")).withColumn("enough", F.col("ok") >= F.col("total") * 0.5)

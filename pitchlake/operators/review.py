@@ -23,18 +23,35 @@ def pair_clips(events: DataFrame, clips: DataFrame, run: str, most: float = 2.0)
     kind = dict(e.dtypes)
 
     def greedy(pdf):
+        from bisect import bisect_left
+
         import pandas as pd
 
         rows = pdf["x"].tolist()
-        left = sorted(((r["ts"], r["name"]) for r in rows if r["kind"] == 1), key=lambda r: (r[0], r[1]))
+        free = sorted((r["ts"], r["name"]) for r in rows if r["kind"] == 1)
+        times = [t for t, _ in free]
+        up, down = list(range(len(free) + 1)), list(range(len(free) + 1))  # next free clip from a place on; number of clips up to the last free one before it
+
+        def root(links: list[int], i: int) -> int:
+            while links[i] != i:
+                links[i] = links[links[i]]
+                i = links[i]
+            return i
+
         out = []
         for r in sorted((r for r in rows if r["kind"] == 0), key=lambda r: r["idx"]):
-            best = min(left, key=lambda c: (abs(c[0] - r["ts"]), c[1]), default=None)
-            if best is not None and abs(best[0] - r["ts"]) <= most:
-                left.remove(best)
+            at, found = bisect_left(times, r["ts"]), []
+            after, before = root(up, at), root(down, at)
+            if after < len(free):
+                found.append(after)
+            if before > 0:  # of clips at one time the first name that is free
+                found.append(root(up, bisect_left(times, times[before - 1])))
+            best = min(found, key=lambda i: (abs(times[i] - r["ts"]), free[i][1]), default=None)
+            if best is not None and abs(times[best] - r["ts"]) <= most:
+                up[best], down[best + 1] = best + 1, best
             else:
                 best = None
-            out.append((pdf[run].iloc[0], r["idx"], best[1] if best else None))
+            out.append((pdf[run].iloc[0], r["idx"], free[best][1] if best is not None else None))
         return pd.DataFrame(out, columns=[run, "idx", "clip"])
 
     second = both.groupBy(run).applyInPandas(greedy, f"{run} {kind[run]}, idx {kind['idx']}, clip string")

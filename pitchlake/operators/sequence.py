@@ -1,13 +1,20 @@
 """Operators over ordered samples of a key: trailing windows, islands, folds.
 
-Times are whole milliseconds. Windows of one key share a shuffle; folds run over one
-array per key, so what goes in should be few candidates or one match's samples.
+Times are whole milliseconds. Windows of one key share a shuffle. Filters whose state
+goes from row to row (ema, kalman) stream over the sorted rows of a partition and hold
+one state, whatever the length of a match; the fold of greedy_dedup runs over one array
+of few candidates per key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _w(key: list[str], order: str, *more: str) -> Window:
@@ -85,81 +92,123 @@ def greedy_dedup(df: DataFrame, key: list[str], ts: str = "ts_ms", gap_ms: int =
     return got.select(*(F.col(c) if c in key else F.col("_e")[c].alias(c) for c in df.columns))
 
 
-def ema(df: DataFrame, key: list[str], order: str, value: str, start: float, alpha: float, out: str = "smooth") -> DataFrame:
-    """Exponential average from start over the rows' values; null values keep it."""
-    f = _fold(df, key, [order], [value])
-    state = "struct<s:double,got:array<struct<o:bigint,v:double,s:double>>>"
-    begin = F.struct(F.lit(float(start)).alias("s"), F.array().cast("array<struct<o:bigint,v:double,s:double>>").alias("got")).cast(state)
+def carried(df: DataFrame, key: list[str], order: list[str], inputs: list[str], begin: Callable[[], Callable[..., tuple]], out: str) -> DataFrame:
+    """df with the columns of the DDL out, made row by row: begin() gives a key's step, which gets the inputs of each row in order.
 
-    def step(acc: Column, e: Column) -> Column:
-        now = F.when(e[value].isNull(), acc["s"]).otherwise(acc["s"] + (e[value] - acc["s"]) * alpha)
-        item = F.struct(e[order].cast("long").alias("o"), e[value].cast("double").alias("v"), now.alias("s"))
-        return F.struct(now.alias("s"), F.concat(acc["got"], F.array(item)).alias("got")).cast(state)
+    Keys are dealt out by one shuffle and sorted; rows stream through in batches, and only
+    the step of the last key is kept between them.
+    """
+    made = df.sparkSession.createDataFrame([], out).schema
+    types = [f.type for f in to_arrow_schema(made)]
+    where = [df.columns.index(c) for c in (*key, *inputs)]
+    n_key = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            got = []
+            for row in zip(*(b.column(i).to_pylist() for i in where), strict=True):
+                if step is None or row[:n_key] != last:
+                    last, step = row[:n_key], begin()
+                got.append(step(*row[n_key:]))
+            new = [pa.array(v, t) for v, t in zip(zip(*got, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *made.names])
+
+    schema = StructType([*df.schema.fields, *made.fields])
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
-    got = f.select(*key, F.explode(F.aggregate("_items", begin, step)["got"]).alias("_e"))
-    return got.select(*key, F.col("_e.o").alias(order), F.col("_e.v").alias(value), F.col("_e.s").alias(out))
 
+def ema(df: DataFrame, key: list[str], order: str, value: str, start: float, alpha: float, out: str = "smooth") -> DataFrame:
+    """key, order, value, out: exponential average from start over the rows' values; null values keep it."""
+
+    def begin() -> Callable[[float | None], tuple[float]]:
+        now = float(start)
 
-_STATE = "x double,y double,vx double,vy double,p double,c double,v double,rejects int,last bigint".replace(" ", ":")
-_OUT = "t:bigint,x:double,y:double,rx:double,ry:double,outlier:boolean"
+        def step(v: float | None) -> tuple[float]:
+            nonlocal now
+            if v is not None:
+                now += (v - now) * alpha
+            return (now,)
 
+        return step
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return carried(df.select(*key, order, value), key, [order], [value], begin, f"`{out}` double")
 
 
 def kalman(df: DataFrame, key: list[str], ts: str = "ts_ms", seen: str = "visible", x: str = "px", y: str = "py", noise: float = 8.0, accel: float = 300.0, gate: float = 9.21, relock: int = 3, gap_ms: int = 1000, speed: float = 1000.0) -> DataFrame:
-    """Constant-velocity smoothing of seen samples with outlier gating: key, ts, x, y, raw_x, raw_y, outlier.
+    """Constant-velocity smoothing of seen samples with outlier gating.
 
-    Both axes have the same noise and don't mix, so one 2x2 covariance (p, c, v) serves
-    for both. The time step counts from the sample before, seen or not. Values are not
-    rounded. Only seen samples come back.
+    All rows and columns of df come back, with x and y smoothed where the ball is seen and
+    as they were where it isn't, and raw_x, raw_y (what was measured; null if unseen),
+    smoothed and outlier. Both axes have the same noise and don't mix, so one 2x2
+    covariance (p, c, v) serves for both. The time step counts from the sample before,
+    seen or not; unseen ones don't move the filter. Values are not rounded.
     """
-    visible = F.coalesce(F.col(seen), F.lit(False)) & F.col(x).isNotNull()
-    dt = (F.col(ts) - F.lag(ts).over(_w(key, ts))) / 1000.0
-    pts = df.withColumn("_dt", F.greatest(F.lit(0.0), F.coalesce(dt, F.lit(0.0)))).where(visible)
-    f = _fold(pts, key, [ts], [x, y, "_dt"])
-    state = f"struct<s:struct<{_STATE}>,got:array<struct<{_OUT}>>>"
     r, q = noise * noise, accel * accel
-    begin = F.struct(F.lit(None).cast(f"struct<{_STATE}>").alias("s"), F.array().cast(f"array<struct<{_OUT}>>").alias("got")).cast(state)
-
-    def fresh(e: Column, rejects: int = 0) -> Column:
-        zero = F.lit(0.0)
-        return F.struct(e[x].cast("double").alias("x"), e[y].cast("double").alias("y"), zero.alias("vx"), zero.alias("vy"), F.lit(r).alias("p"), zero.alias("c"), F.lit(speed * speed).alias("v"), F.lit(rejects).alias("rejects"), e[ts].cast("long").alias("last"))
-
-    def predicted(s: Column, e: Column) -> Column:
-        d = e["_dt"]
-        p = s["p"] + 2 * d * s["c"] + d * d * s["v"] + q * d * d * d * d / 4
-        c = s["c"] + d * s["v"] + q * d * d * d / 2
-        return F.struct((s["x"] + d * s["vx"]).alias("x"), (s["y"] + d * s["vy"]).alias("y"), s["vx"].alias("vx"), s["vy"].alias("vy"), p.alias("p"), c.alias("c"), (s["v"] + q * d * d).alias("v"), s["rejects"].alias("rejects"), e[ts].cast("long").alias("last"))
-
-    def updated(m: Column, e: Column) -> Column:
-        """struct(s, outlier) after measuring e."""
-        ex, ey, n = e[x] - m["x"], e[y] - m["y"], m["p"] + r
-        kp, kc = m["p"] / n, m["c"] / n
-        bad = (ex * ex + ey * ey) / n > gate
-        coast = F.struct(*(m[k].alias(k) for k in ("x", "y", "vx", "vy", "p", "c", "v")), (m["rejects"] + 1).alias("rejects"), m["last"].alias("last"))
-        good = F.struct((m["x"] + kp * ex).alias("x"), (m["y"] + kp * ey).alias("y"), (m["vx"] + kc * ex).alias("vx"), (m["vy"] + kc * ey).alias("vy"), (m["p"] * (1 - kp)).alias("p"), (m["c"] * (1 - kp)).alias("c"), (m["v"] - kc * m["c"]).alias("v"), F.lit(0).alias("rejects"), m["last"].alias("last"))
-        cast = f"struct<s:struct<{_STATE}>,outlier:boolean>"
-        lost = m["rejects"] + 1 >= relock
-        return F.when(~bad, F.struct(good.alias("s"), F.lit(False).alias("outlier")).cast(cast)).when(lost, F.struct(fresh(e).alias("s"), F.lit(False).alias("outlier")).cast(cast)).otherwise(F.struct(coast.alias("s"), F.lit(True).alias("outlier")).cast(cast))
 
-    def step(acc: Column, e: Column) -> Column:
-        s = acc["s"]
-        stale = e[ts] - s["last"] > gap_ms
-        base = F.when(stale, fresh(e).cast(f"struct<{_STATE}>")).otherwise(s)
-        first = F.struct(fresh(e).alias("s"), F.lit(False).alias("outlier")).cast(f"struct<s:struct<{_STATE}>,outlier:boolean>")
-        next_ = F.when(s.isNull(), first).otherwise(let(let(base, lambda b: predicted(b, e)), lambda m: updated(m, e)))
-
-        def put(u: Column) -> Column:
-            item = F.struct(e[ts].cast("long").alias("t"), u["s"]["x"].alias("x"), u["s"]["y"].alias("y"), e[x].cast("double").alias("rx"), e[y].cast("double").alias("ry"), u["outlier"].alias("outlier"))
-            return F.struct(u["s"].alias("s"), F.concat(acc["got"], F.array(item)).alias("got")).cast(state)
-
-        return let(next_, put)
-
-    got = f.select(*key, F.explode(F.aggregate("_items", begin, step)["got"]).alias("_e"))
-    return got.select(*key, F.col("_e.t").alias(ts), F.col("_e.x").alias("x"), F.col("_e.y").alias("y"), F.col("_e.rx").alias("raw_x"), F.col("_e.ry").alias("raw_y"), F.col("_e.outlier").alias("outlier"))
+    def begin() -> Callable[..., tuple]:
+        state = None  # x, y, vx, vy, p, c, v
+        before = last = None  # times of the sample before, and of the last one seen
+        rejects = 0
+
+        def step(t: int, visible: bool | None, mx: float | None, my: float | None) -> tuple:
+            nonlocal state, before, last, rejects
+            d = 0.0 if before is None else max(0.0, (t - before) / 1000.0)
+            before = t
+            if not visible or mx is None:
+                return mx, my, None, None, False, False
+            stale = last is not None and t - last > gap_ms
+            last = t
+            fresh = (mx, my, 0.0, 0.0, r, 0.0, speed * speed)
+            if state is None:
+                state = fresh
+                return mx, my, mx, my, True, False
+            if stale:
+                state, rejects = fresh, 0
+            sx, sy, vx, vy, p, c, v = state
+            sx, sy = sx + d * vx, sy + d * vy
+            p, c, v = p + 2 * d * c + d * d * v + q * d * d * d * d / 4, c + d * v + q * d * d * d / 2, v + q * d * d
+            ex, ey, n = mx - sx, my - sy, p + r
+            outlier = (ex * ex + ey * ey) / n > gate
+            if not outlier:
+                kp, kc = p / n, c / n
+                state, rejects = (sx + kp * ex, sy + kp * ey, vx + kc * ex, vy + kc * ey, p * (1 - kp), c * (1 - kp), v - kc * c), 0
+            elif rejects + 1 >= relock:
+                state, rejects, outlier = fresh, 0, False
+            else:
+                state, rejects = (sx, sy, vx, vy, p, c, v), rejects + 1
+            return state[0], state[1], mx, my, True, outlier
+
+        return step
+
+    given = df.withColumn(x, F.col(x).cast("double")).withColumn(y, F.col(y).cast("double"))
+    out = carried(given, key, [ts], [ts, seen, x, y], begin, "_x double, _y double, raw_x double, raw_y double, smoothed boolean, outlier boolean")
+    return out.withColumns({x: F.col("_x"), y: F.col("_y")}).drop("_x", "_y")
+
+
+def attempts(df: DataFrame, key: list[str], order: str, gap: int) -> DataFrame:
+    """df with attempt: rows at which something is tried again, the earliest gap after the last attempt; a key's first row is one."""
+
+    def begin() -> Callable[[int], tuple[bool]]:
+        last = None
+
+        def step(at: int) -> tuple[bool]:
+            nonlocal last
+            due = last is None or at - last >= gap
+            last = at if due else last
+            return (due,)
+
+        return step
+
+    return carried(df, key, [order], [order], begin, "attempt boolean")
+
+
+def registered(df: DataFrame, key: list[str], order: str, value: str, gap: int, out: str = "current") -> DataFrame:
+    """df with attempt and out: the value of the last attempt that gave one; values between attempts aren't taken."""
+    a = attempts(df, key, order, gap)
+    return carry_forward(a.withColumn("_v", F.when(F.col("attempt"), F.col(value))), key, order, "_v", out).drop("_v")
 
 
 def carry_forward(df: DataFrame, key: list[str], order: str, value: str, out: str) -> DataFrame:
@@ -171,3 +220,18 @@ def sliding_windows(totals: DataFrame, key: list[str], total: str = "total_ms",
     """key, start_ms, end_ms, mid_ms of windows laid over each key's duration."""
     starts = totals.where(F.col(total) > 0).select(*key, F.explode(F.sequence(F.lit(0), F.col(total) - 1, F.lit(stride))).alias("start_ms"))
     return starts.select(*key, "start_ms", (F.col("start_ms") + length).alias("end_ms"), (F.col("start_ms") + length // 2).alias("mid_ms"))
+
+
+def spotted(windows: DataFrame, confidence: str = "confidence", label: str = "label", least: float = 0.6) -> DataFrame:
+    """Windows with a label whose confidence is at least least, with the times of an event at their middle."""
+    kept = windows.where(F.col(label).isNotNull() & (F.col(confidence) >= least))
+    return kept.withColumn("timestamp_s", F.round(F.col("mid_ms") / 1000.0, 2)).withColumn("position_ms", F.col("mid_ms").cast("long"))
+
+
+def half(frames: DataFrame, frame: str, which: str, total: Column, half_frame: Column | None = None) -> DataFrame:
+    """Rows of the first or second half, which begins at half_frame (if that isn't 0) or total div 2; both keeps all."""
+    middle = F.floor(total / 2)
+    middle = middle if half_frame is None else F.coalesce(F.nullif(half_frame, F.lit(0)), middle)
+    if which == "first":
+        return frames.where(F.col(frame) < middle)
+    return frames.where((F.col(frame) >= middle) & (F.col(frame) < total)) if which == "second" else frames

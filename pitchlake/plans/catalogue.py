@@ -47,7 +47,7 @@ def v(spark, sf, name):
 
 @query("{samples} SELECT match_id, frame, ts_ms FROM samples WHERE frame >= 3 AND (frame - 3) % 5 = 0")
 def strided_sample(spark, sf):
-    return v(spark, sf, "samples").where("frame >= 3 and (frame - 3) % 5 = 0").select("match_id", "frame", "ts_ms")
+    return documents.sampled(v(spark, sf, "samples"), "frame", 5, 3).select("match_id", "frame", "ts_ms")
 
 
 @query("SELECT p_partkey, greatest(1, CAST(round_even(p_size / 4.0, 0) AS BIGINT)) AS step FROM part")
@@ -57,12 +57,19 @@ def sample_interval(spark, sf):
 
 @query("{boxes} SELECT frame, det, class_id FROM boxes WHERE class_id IN (1, 3)")
 def class_filter(spark, sf):
-    return v(spark, sf, "boxes").where(F.col("class_id").isin(1, 3)).select("frame", "det", "class_id")
+    return metrics.of_class(v(spark, sf, "boxes"), 1, 3).select("frame", "det", "class_id")
 
 
 @query("{boxes} SELECT frame, det, conf FROM boxes WHERE conf >= 0.25")
 def confidence_filter(spark, sf):
-    return v(spark, sf, "boxes").where("conf >= 0.25").select("frame", "det", "conf")
+    return v(spark, sf, "boxes").where(g.over_threshold(F.col("conf"), None, 0.25)).select("frame", "det", "conf")
+
+
+@query("{boxes} SELECT frame, det FROM boxes WHERE conf >= CASE frame % 3 WHEN 1 THEN 0.7::DOUBLE ELSE 0.25::DOUBLE END")
+def confidence_default(spark, sf):
+    # a third of the rows is given 0, a third nothing
+    given = F.when(F.col("frame") % 3 == 0, 0.0).when(F.col("frame") % 3 == 1, 0.7)
+    return v(spark, sf, "boxes").where(g.over_threshold(F.col("conf"), given, 0.25)).select("frame", "det")
 
 
 @query("{boxes} SELECT frame, det, conf FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS rn FROM boxes WHERE class_id = 0) WHERE rn = 1")
@@ -142,17 +149,18 @@ def hull_filter(spark, sf):
 
 @query(f"{{boxes}}, {_FEET} SELECT frame, det FROM feet WHERE CASE WHEN frame % 2 = 0 THEN {_PX} BETWEEN -3 AND 58 AND {_PY} BETWEEN -3 AND 39 ELSE x BETWEEN 288 AND 1632 AND y BETWEEN 162 AND 918 END")
 def spectator_switch(spark, sf):
-    known = F.col("frame") % 2 == 0
-    inside = F.when(known, g.on_field(F.col("px"), F.col("py"))).otherwise(g.in_central_part(F.col("x"), F.col("y"), 1920, 1080))
+    inside = g.kept_person(F.col("frame") % 2 == 0, (F.col("px"), F.col("py")), (F.col("x"), F.col("y")))
     return _projected(spark, sf).where(inside).select("frame", "det")
 
 
 def _hull_sql() -> str:
-    parts = []
+    """Distance to the nearest point of the border: inside if the foot lies left of every side."""
+    far, left = [], []
     for (ax, ay), (bx, by) in zip(HULL, HULL[1:] + HULL[:1], strict=True):
-        n = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
-        parts.append(f"((x - {ax}) * {-(by - ay)} + (y - {ay}) * {bx - ax}) / {n!r}")
-    return f"least({', '.join(parts)})"
+        t = f"greatest(0, least(1, ((x - {ax}) * {bx - ax} + (y - {ay}) * {by - ay}) / {(bx - ax) ** 2 + (by - ay) ** 2}::DOUBLE))"
+        far.append(f"sqrt(power(x - {ax} - {t} * ({bx - ax}), 2) + power(y - {ay} - {t} * ({by - ay}), 2))")
+        left.append(f"({bx - ax}) * (y - {ay}) >= ({by - ay}) * (x - {ax})")
+    return f"CASE WHEN {' AND '.join(left)} THEN 1 ELSE -1 END * least({', '.join(far)})"
 
 
 @query(f"{{boxes}}, {_FEET} SELECT frame, det FROM feet WHERE {_hull_sql()} >= -20")
@@ -174,12 +182,63 @@ def crop_rect(spark, sf):
     return v(spark, sf, "samples").select("match_id", "frame", x.alias("crop_x"), y.alias("crop_y"))
 
 
-@query("""{boxes} SELECT frame, det, CAST(trunc(x1 + (x2-x1)*0.2::DOUBLE) AS BIGINT) AS tx1, CAST(trunc(y1 + (y2-y1)*0.2::DOUBLE) AS BIGINT) AS ty1, CAST(trunc(x2 - (x2-x1)*0.2::DOUBLE) AS BIGINT) AS tx2, CAST(trunc(y1 + (y2-y1)*0.55::DOUBLE) AS BIGINT) AS ty2,
- CAST(trunc(y1 + (y2-y1)*0.55::DOUBLE) AS BIGINT) AS ny2 FROM boxes""")
+def _part_sql(name: str, least: tuple[int, int], side: float, top: float, bottom: float, result: int) -> str:
+    """A CTE with the corners of a part of each box, null where box or part is too small."""
+    return f"""{name}_r AS (SELECT frame, det, x2 - x1 AS w, y2 - y1 AS h, greatest(0, CAST(round_even(x1 + (x2 - x1) * {side}::DOUBLE, 0) AS BIGINT)) AS a, greatest(0, CAST(round_even(y1 + (y2 - y1) * {top}::DOUBLE, 0) AS BIGINT)) AS b,
+ least(1920, CAST(round_even(x2 - (x2 - x1) * {side}::DOUBLE, 0) AS BIGINT)) AS c, least(1080, CAST(round_even(y1 + (y2 - y1) * {bottom}::DOUBLE, 0) AS BIGINT)) AS d FROM sized),
+{name} AS (SELECT frame, det, w >= {least[0]} AND h >= {least[1]} AND c - a >= {result} AND d - b >= {result} AS ok, a, b, c, d FROM {name}_r)"""
+
+
+# boxes of all sizes, some beyond the frame
+_SIZED = "sized AS (SELECT frame, det, x1 - 30 AS x1, y1 + 60 AS y1, x1 - 30 + (x2 - x1) / (1 + frame % 9) AS x2, y1 + 60 + (y2 - y1) / (1 + frame % 9) AS y2, conf FROM boxes)"
+_TORSO, _NUMBER = _part_sql("torso", (4, 8), 0.2, 0.2, 0.55, 2), _part_sql("num", (12, 24), 0.1, 0.0, 0.55, 8)
+
+
+def _sized(spark, sf):
+    b, k = v(spark, sf, "boxes"), 1 + F.col("frame") % 9
+    x, y = F.col("x1") - 30, F.col("y1") + 60
+    return b.select("frame", "det", x.alias("x1"), y.alias("y1"), (x + (F.col("x2") - F.col("x1")) / k).alias("x2"), (y + (F.col("y2") - F.col("y1")) / k).alias("y2"), "conf")
+
+
+@query(f"{{boxes}}, {_SIZED}, {_TORSO}, {_NUMBER} SELECT t.frame, t.det, CASE WHEN t.ok THEN t.a END AS tx1, CASE WHEN t.ok THEN t.b END AS ty1, CASE WHEN t.ok THEN t.c END AS tx2, CASE WHEN t.ok THEN t.d END AS ty2, CASE WHEN n.ok THEN n.a END AS nx1, CASE WHEN n.ok THEN n.b END AS ny1, CASE WHEN n.ok THEN n.c END AS nx2, CASE WHEN n.ok THEN n.d END AS ny2 FROM torso t JOIN num n USING (frame, det)")
 def torso_rect(spark, sf):
     b = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
-    t = g.torso_rect(*b)
-    return v(spark, sf, "boxes").select("frame", "det", *(c.alias(n) for c, n in zip(t, ("tx1", "ty1", "tx2", "ty2"), strict=True)), g.number_rect(*b)[3].alias("ny2"))
+    parts = zip((*g.torso_rect(*b), *g.number_rect(*b)), ("tx1", "ty1", "tx2", "ty2", "nx1", "ny1", "nx2", "ny2"), strict=True)
+    return _sized(spark, sf).select("frame", "det", *(c.alias(n) for c, n in parts))
+
+
+@query(f"{{boxes}}, {_SIZED}, {_NUMBER} SELECT n.frame, n.det FROM num n JOIN sized s USING (frame, det) WHERE n.ok AND c - a >= 16 AND d - b >= 16 AND s.conf * 40 >= 18")
+def legibility(spark, sf):
+    n = g.number_rect(*(F.col(c) for c in ("x1", "y1", "x2", "y2")))
+    return _sized(spark, sf).where(g.legible(n[2] - n[0], n[3] - n[1], F.col("conf") * 40)).select("frame", "det")
+
+
+_FRAMES = "640 + p_size * 20 AS fw, 360 + p_partkey % 50 * 10 AS fh"
+
+
+@query(f"SELECT p_partkey, CASE WHEN fw * 720 > fh * 1280 THEN CAST(trunc(fh * 1280 / 720) AS BIGINT) ELSE fw END AS w, CASE WHEN fw * 720 > fh * 1280 THEN fh ELSE CAST(trunc(fw * 720 / 1280) AS BIGINT) END AS h FROM (SELECT p_partkey, {_FRAMES} FROM part)")
+def crop_fit(spark, sf):
+    p = load(spark, sf, "part").select("p_partkey", (640 + F.col("p_size") * 20).cast("long").alias("fw"), (360 + F.col("p_partkey") % 50 * 10).alias("fh"))
+    w, h = g.crop_fit(F.col("fw"), F.col("fh"), 1280, 720)
+    return p.select("p_partkey", w.alias("w"), h.alias("h"))
+
+
+@query("{samples} SELECT match_id, frame, CASE WHEN frame % 3 <> 0 THEN CASE WHEN fy BETWEEN 0 AND 36 THEN CASE WHEN fx BETWEEN 0 AND 5.5 THEN 'left' WHEN fx BETWEEN 49.5 AND 55 THEN 'right' END END WHEN px < 100 THEN 'left' WHEN px > 400 THEN 'right' END AS zone FROM samples")
+def zone_fallback(spark, sf):
+    fx = F.when(F.col("frame") % 3 != 0, F.col("fx"))
+    return v(spark, sf, "samples").select("match_id", "frame", g.zone_or_side(fx, F.col("fy"), F.col("px"), 500.0).alias("zone"))
+
+
+@query("{candidates} SELECT id, CAST(i AS INTEGER) AS i, round(60 + greatest(0, duration - 135) * i / 4, 6) AS start_s FROM candidates CROSS JOIN range(5) r(i) WHERE duration IS NOT NULL")
+def even_starts(spark, sf):
+    c = v(spark, sf, "candidates").where("duration is not null")
+    return c.select("id", F.posexplode(g.even_starts(F.col("duration"), 5)).alias("i", "start_s")).withColumn("start_s", F.round("start_s", 6))
+
+
+@query("{boxes} SELECT frame, det, coalesce(x1 * 2 - 900 BETWEEN -576 AND 2496 AND y1 * 2 - 500 BETWEEN -324 AND 1404 AND x2 * 2 BETWEEN -576 AND 2496 AND CASE WHEN frame % 5 <> 0 THEN y2 * 2 END BETWEEN -324 AND 1404, false) AS sane FROM boxes")
+def corner_sanity(spark, sf):
+    corners = [(F.col("x1") * 2 - 900, F.col("y1") * 2 - 500), (F.col("x2") * 2, F.when(F.col("frame") % 5 != 0, F.col("y2") * 2))]
+    return v(spark, sf, "boxes").select("frame", "det", g.corners_sane(corners).alias("sane"))
 
 
 @query("{dated} SELECT frame, greatest(0, ts - 5) AS start_s, 35.0::DOUBLE AS duration_s FROM dated")
@@ -366,6 +425,22 @@ def stats_rollup(spark, sf):
     return metrics.rollup_counts(attributed(spark, sf))
 
 
+@query("{dated} SELECT frame, label FROM dated WHERE label IN ('shot', 'throw_in')")
+def label_list(spark, sf):
+    return matching.event_filter(v(spark, sf, "dated"), label=["shot", "throw_in", "halftime"]).select("frame", "label")
+
+
+@query("{dated} SELECT frame, track FROM dated WHERE label = 'shot'")
+def shot_filter(spark, sf):
+    return matching.event_filter(v(spark, sf, "dated"), label="shot").select("frame", "track")
+
+
+@query("{samples} SELECT match_id, frame FROM samples WHERE frame IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")
+def frame_list(spark, sf):
+    wanted = load(spark, sf, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("frame"))
+    return matching.by_frames(v(spark, sf, "samples"), wanted).select("match_id", "frame")
+
+
 # -- metrics ------------------------------------------------------------------
 
 _POSS = """c AS (SELECT b.frame, sqrt(power(p.fx - b.fx, 2) + power(p.fy - b.fy, 2)) AS d, p.track FROM samples b JOIN players p ON p.frame = b.frame),
@@ -381,11 +456,11 @@ def possession(spark, sf):
     return metrics.possession(_near(spark, sf), v(spark, sf, "teams"))
 
 
-@query(f"""{{samples,players}}, {_POSS}, n AS (SELECT *, CASE WHEN lag(track) OVER w = track AND frame - lag(frame) OVER w <= 50 THEN 0 ELSE 1 END AS new FROM near WINDOW w AS (ORDER BY frame)),
-r AS (SELECT *, sum(new) OVER (ORDER BY frame) AS run FROM n) SELECT track, min(frame) AS "start", max(frame) AS "end", count(*) AS frames FROM r GROUP BY run, track HAVING count(*) >= 1""")
+@query(f"""{{samples,players}}, {_POSS}, n AS (SELECT s.match_id, near.*, CASE WHEN lag(track) OVER w = track AND frame - lag(frame) OVER w <= 50 THEN 0 ELSE 1 END AS new FROM near JOIN samples s USING (frame) WINDOW w AS (PARTITION BY s.match_id ORDER BY frame)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY match_id ORDER BY frame) AS run FROM n) SELECT match_id, track, min(frame) AS "start", max(frame) AS "end", count(*) AS frames FROM r GROUP BY match_id, run, track HAVING count(*) >= 1""")
 def touches(spark, sf):
-    n = _near(spark, sf).withColumn("match_id", F.lit(0))
-    return metrics.touches(n, ["match_id"], "frame", least=1, step=50).drop("match_id")
+    n = _near(spark, sf).join(v(spark, sf, "samples").select("frame", "match_id"), "frame")
+    return metrics.touches(n, ["match_id"], "frame", least=1, step=50)
 
 
 _STEP = "s AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step, lag(idx) OVER w AS pidx FROM trajectory WINDOW w AS (PARTITION BY track ORDER BY idx))"
@@ -433,10 +508,55 @@ def ema_camera(spark, sf):
     return sequence.ema(s, ["match_id"], "frame", "t", 250.0, 0.3).select("match_id", "frame", F.round("smooth", 4).alias("smooth"))
 
 
-@query()
+#: The filter row by row over the seen samples: b is the state to start from (a new one after a gap), m the predicted one, u what measuring tells.
+_KALMAN = """d AS (SELECT *, greatest(0, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY match_id ORDER BY ts_ms), 0)) / 1000.0::DOUBLE AS d FROM samples),
+o AS (SELECT match_id, ts_ms, px AS rx, py AS ry, d, row_number() OVER (PARTITION BY match_id ORDER BY ts_ms) AS rn FROM d WHERE visible AND px IS NOT NULL),
+k(match_id, rn, ts_ms, x, y, vx, vy, p, c, v, rejects, outlier) AS (
+ SELECT match_id, rn, ts_ms, rx, ry, 0::DOUBLE, 0::DOUBLE, 64::DOUBLE, 0::DOUBLE, 1e6::DOUBLE, 0, false FROM o WHERE rn = 1 UNION ALL
+ SELECT match_id, rn, ts_ms, CASE WHEN NOT bad THEN mx + mp / n * ex WHEN lost THEN rx ELSE mx END, CASE WHEN NOT bad THEN my + mp / n * ey WHEN lost THEN ry ELSE my END,
+  CASE WHEN NOT bad THEN vx + mc / n * ex WHEN lost THEN 0 ELSE vx END, CASE WHEN NOT bad THEN vy + mc / n * ey WHEN lost THEN 0 ELSE vy END,
+  CASE WHEN NOT bad THEN mp * (1 - mp / n) WHEN lost THEN 64 ELSE mp END, CASE WHEN NOT bad THEN mc * (1 - mp / n) WHEN lost THEN 0 ELSE mc END, CASE WHEN NOT bad THEN mv - mc / n * mc WHEN lost THEN 1e6 ELSE mv END,
+  CASE WHEN bad AND NOT lost THEN rejects + 1 ELSE 0 END, bad AND NOT lost
+ FROM (SELECT *, mp + 64 AS n, (ex * ex + ey * ey) / (mp + 64) > 9.21::DOUBLE AS bad, rejects + 1 >= 3 AS lost
+  FROM (SELECT *, rx - mx AS ex, ry - my AS ey
+   FROM (SELECT match_id, rn, ts_ms, rx, ry, vx, vy, rejects, x + d * vx AS mx, y + d * vy AS my, p + 2 * d * c + d * d * v + 90000 * d * d * d * d / 4 AS mp, c + d * v + 90000 * d * d * d / 2 AS mc, v + 90000 * d * d AS mv
+    FROM (SELECT o.match_id, o.rn, o.ts_ms, o.rx, o.ry, o.d, CASE WHEN s THEN o.rx ELSE k.x END AS x, CASE WHEN s THEN o.ry ELSE k.y END AS y, CASE WHEN s THEN 0 ELSE k.vx END AS vx, CASE WHEN s THEN 0 ELSE k.vy END AS vy,
+      CASE WHEN s THEN 64 ELSE k.p END AS p, CASE WHEN s THEN 0 ELSE k.c END AS c, CASE WHEN s THEN 1e6 ELSE k.v END AS v, CASE WHEN s THEN 0 ELSE k.rejects END AS rejects
+     FROM k JOIN (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY match_id ORDER BY rn) > 1000, false) AS s FROM o) o ON o.match_id = k.match_id AND o.rn = k.rn + 1) b) m) e) u)"""
+
+
+@query(f"""{{samples}}, {_KALMAN} SELECT s.match_id, s.ts_ms, CASE WHEN k.rn IS NULL THEN round(s.px, 1) ELSE round(k.x, 1) END AS x, CASE WHEN k.rn IS NULL THEN round(s.py, 1) ELSE round(k.y, 1) END AS y,
+ CASE WHEN k.rn IS NOT NULL THEN s.px END AS raw_x, CASE WHEN k.rn IS NOT NULL THEN s.py END AS raw_y, k.rn IS NOT NULL AS smoothed, coalesce(k.outlier, false) AS outlier FROM samples s LEFT JOIN k ON k.match_id = s.match_id AND k.ts_ms = s.ts_ms""")
 def kalman_smooth(spark, sf):
     k = sequence.kalman(v(spark, sf, "samples"), ["match_id"])
-    return k.select("match_id", "ts_ms", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), "raw_x", "raw_y", "outlier")
+    return k.select("match_id", "ts_ms", F.round("px", 1).alias("x"), F.round("py", 1).alias("y"), "raw_x", "raw_y", "smoothed", "outlier")
+
+
+@query("""{samples}, b AS (SELECT match_id, frame, CASE WHEN frame % 3 <> 0 THEN px END AS val FROM samples WHERE visible),
+r(match_id, frame) AS (SELECT match_id, min(frame) FROM b GROUP BY match_id UNION ALL SELECT r.match_id, (SELECT min(b.frame) FROM b WHERE b.match_id = r.match_id AND b.frame >= r.frame + 150) FROM r WHERE r.frame IS NOT NULL)
+SELECT b.match_id, b.frame, r.frame IS NOT NULL AS attempt, last_value(CASE WHEN r.frame IS NOT NULL THEN val END IGNORE NULLS) OVER (PARTITION BY b.match_id ORDER BY b.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS current FROM b LEFT JOIN r ON r.match_id = b.match_id AND r.frame = b.frame""")
+def homography_schedule(spark, sf):
+    b = v(spark, sf, "samples").where("visible").select("match_id", "frame", F.when(F.col("frame") % 3 != 0, F.col("px")).alias("val"))
+    return sequence.registered(b, ["match_id"], "frame", "val", 150).select("match_id", "frame", "attempt", "current")
+
+
+@query("""{samples}, t AS (SELECT match_id, max(frame) + 1 AS total FROM samples GROUP BY match_id) SELECT match_id, frame, frame < CASE WHEN match_id % 2 = 0 THEN total // 2 ELSE 777 END AS first FROM samples JOIN t USING (match_id)""")
+def half_restriction(spark, sf):
+    total = v(spark, sf, "samples").groupBy("match_id").agg((F.max("frame") + 1).alias("total"))
+    s = v(spark, sf, "samples").select("match_id", "frame").join(total, "match_id")
+    middle = F.when(F.col("match_id") % 2 == 0, 0).otherwise(777)
+    parts = [sequence.half(s, "frame", which, F.col("total"), middle).select("match_id", "frame", F.lit(which == "first").alias("first")) for which in ("first", "second")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("""{samples}, t AS (SELECT match_id, max(ts_ms) AS total_ms FROM samples GROUP BY match_id), w AS (SELECT match_id, unnest(range(0, total_ms, 10000)) AS start_ms FROM t WHERE total_ms > 0),
+c AS (SELECT *, start_ms // 10000 % 10 / 10.0::DOUBLE AS confidence, CASE WHEN start_ms // 10000 % 3 <> 0 THEN 'shot' END AS label FROM w)
+SELECT match_id, label, round((start_ms + 5000) / 1000.0::DOUBLE, 2) AS timestamp_s, start_ms + 5000 AS position_ms FROM c WHERE label IS NOT NULL AND confidence >= 0.6::DOUBLE""")
+def spotter_confidence(spark, sf):
+    w = sequence.sliding_windows(v(spark, sf, "samples").groupBy("match_id").agg(F.max("ts_ms").alias("total_ms")), ["match_id"])
+    n = F.floor(F.col("start_ms") / 10000)
+    w = w.withColumn("confidence", n % 10 / 10.0).withColumn("label", F.when(n % 3 != 0, "shot"))
+    return sequence.spotted(w).select("match_id", "label", "timestamp_s", "position_ms")
 
 
 @query("{samples}, t AS (SELECT match_id, max(ts_ms) AS total_ms FROM samples GROUP BY match_id) SELECT match_id, unnest(range(0, total_ms, 10000)) AS start_ms, unnest(range(0, total_ms, 10000)) + 10000 AS end_ms, unnest(range(0, total_ms, 10000)) + 5000 AS mid_ms FROM t WHERE total_ms > 0")
@@ -446,13 +566,24 @@ def spotter_windows(spark, sf):
 
 @query("{samples} SELECT match_id, round(avg(CASE WHEN visible THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage, count(DISTINCT frame) AS frames FROM samples GROUP BY match_id")
 def coverage(spark, sf):
-    return v(spark, sf, "samples").groupBy("match_id").agg(F.round(F.avg(F.col("visible").cast("double")), 6).alias("coverage"), F.count_distinct("frame").alias("frames"))
+    return metrics.coverage(v(spark, sf, "samples"), ["match_id"]).withColumn("coverage", F.round("coverage", 6))
 
 
 @query("{boxes}, f AS (SELECT frame, count(*) AS n, max(CASE WHEN class_id = 0 THEN 1 ELSE 0 END) AS ball FROM boxes GROUP BY frame) SELECT count(*) AS frames, round(avg(n), 6) AS mean_n, round(avg(ball), 6) AS with_ball FROM f")
 def detection_summary(spark, sf):
-    f = v(spark, sf, "boxes").groupBy("frame").agg(F.count("*").alias("n"), F.max((F.col("class_id") == 0).cast("int")).alias("ball"))
-    return f.agg(F.count("*").alias("frames"), F.round(F.avg("n"), 6).alias("mean_n"), F.round(F.avg("ball"), 6).alias("with_ball"))
+    d = metrics.detection_summary(v(spark, sf, "boxes"))
+    return d.select("frames", F.round("mean_n", 6).alias("mean_n"), F.round("with_ball", 6).alias("with_ball"))
+
+
+@query("{players,teams} SELECT team, count(DISTINCT track) AS tracks FROM players JOIN teams USING (track) GROUP BY team")
+def unique_tracks(spark, sf):
+    return metrics.unique_tracks(v(spark, sf, "players").join(v(spark, sf, "teams"), "track"), ["team"])
+
+
+@query("{samples} SELECT match_id, count(val) AS ok, count(*) AS total, round(count(val) / count(*), 6) AS rate, count(val) >= count(*) * 0.5 AS enough FROM (SELECT match_id, CASE WHEN frame % 7 < 4 AND visible THEN px END AS val FROM samples) GROUP BY match_id")
+def registration_rate(spark, sf):
+    s = v(spark, sf, "samples").withColumn("val", F.when((F.col("frame") % 7 < 4) & F.col("visible"), F.col("px")))
+    return metrics.success_rate(s, ["match_id"], "val").withColumn("rate", F.round("rate", 6))
 
 
 # -- identity -----------------------------------------------------------------
@@ -479,6 +610,19 @@ def lanes_for(spark, sf):
     return matching.lanes_for(_votes(spark, sf).join(names, "track", "left"), roster, name=" bryce")
 
 
+@query(f"{{reads}}, {_VOTE} SELECT track, jersey, CASE jersey WHEN 7 THEN 'Ada' WHEN 11 THEN 'Bryce' END AS name FROM vote")
+def roster_names(spark, sf):
+    roster = spark.createDataFrame([(7, "Ada"), (7, "Zoe"), (11, "Bryce"), (None, "Noah")], "jersey int, name string")
+    return matching.named(_votes(spark, sf), roster).select("track", "jersey", "name")
+
+
+@query(f"{{reads}}, {_VOTE} SELECT CAST(track % 8 AS VARCHAR) AS video, track, jersey, round(confidence, 3) AS confidence, n_obs, round(legible_frac, 3) AS legible_frac, CASE jersey WHEN 7 THEN 'Ada' END AS name FROM vote")
+def jerseys_document(spark, sf):
+    named = matching.named(_votes(spark, sf), spark.createDataFrame([(7, "Ada")], "jersey int, name string")).withColumn("video", (F.col("track") % 8).cast("string"))
+    docs = documents.jerseys_document(named.withColumn("confidence", F.round("confidence", 6)).withColumn("legible_frac", F.round("legible_frac", 6)), "video")
+    return docs.select("video", F.explode(F.from_json("doc", documents.JERSEYS)["tracks"]).alias("track", "e")).select("video", F.col("track").cast("long").alias("track"), "e.*")
+
+
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, greatest(1, count(*) OVER (PARTITION BY o_custkey) // 4) AS step FROM orders) WHERE i % step = 0""")
 def stride_sample(spark, sf):
     return identity.stride_sample(load(spark, sf, "orders"), ["o_custkey"], "o_orderkey", 4).select("o_orderkey")
@@ -533,11 +677,11 @@ def top_lanes(spark, sf):
     return tracklets.slots(v(spark, sf, "players").join(v(spark, sf, "teams"), "track"), "team", "track", 3)
 
 
-@query("""{players}, p AS (SELECT track AS slot, frame, fx AS x, fy AS y FROM players WHERE frame < 200 AND track BETWEEN 1 AND 26)
-SELECT s.i AS slot, f.i AS frame, coalesce(x, 50.0) AS x, coalesce(y, 50.0) AS y, CAST(CASE WHEN x IS NULL THEN 0 ELSE 1 END AS INTEGER) AS mask FROM range(1, 27) s(i) CROSS JOIN range(200) f(i) LEFT JOIN p ON p.slot = s.i AND p.frame = f.i""")
+@query("""{players}, n AS (SELECT track, count(*) AS n FROM players GROUP BY track), r AS (SELECT track, row_number() OVER (ORDER BY n DESC, track) AS slot FROM n), p AS (SELECT slot, frame, fx AS x, fy AS y FROM players JOIN r USING (track) WHERE slot <= 26)
+SELECT s.i AS slot, f.i AS frame, coalesce(x, 50.0) AS x, coalesce(y, 50.0) AS y, CAST(CASE WHEN x IS NULL THEN 0 ELSE 1 END AS INTEGER) AS mask FROM range(1, 27) s(i) CROSS JOIN (SELECT unnest(range(0, max(frame) + 1)) AS i FROM players) f LEFT JOIN p ON p.slot = s.i AND p.frame = f.i""")
 def slot_grid(spark, sf):
-    p = v(spark, sf, "players").select(F.col("track").alias("slot"), "frame", F.col("fx").alias("x"), F.col("fy").alias("y"))
-    return tracklets.slot_grid(p, 26, 200, {"x": 50.0, "y": 50.0})
+    p = v(spark, sf, "players").select("track", "frame", F.col("fx").alias("x"), F.col("fy").alias("y"))
+    return tracklets.slot_grid(p, "track", "frame", {"x": 50.0, "y": 50.0})
 
 
 @query()
@@ -578,6 +722,27 @@ def ball_gate(spark, sf):
     return tracklets.ball_gate(_ball_events(spark, sf)).select("track", "frame", "line", "near")
 
 
+@query(f"{{samples,players}}, {_GATE} SELECT count(*) AS events, count(*) FILTER (WHERE NOT coalesce(ball_d > 0.32 AND score < 0.45, false)) AS kept, count(*) FILTER (WHERE NOT coalesce(ball_d > 0.32 AND score < 0.45, false) AND ball_d <= 0.18) AS near, count(*) FILTER (WHERE ball_d > 0.32 AND score < 0.45) AS gated FROM bd")
+def gate_counts(spark, sf):
+    return tracklets.gate_counts(_ball_events(spark, sf))
+
+
+@query("""{players}, b AS (SELECT CAST(frame % 4 AS VARCHAR) AS game_key, frame, track, fx * 30 AS x, fy * 20 AS y, 20.0::DOUBLE AS w, 40.0::DOUBLE AS h FROM players),
+n AS (SELECT *, (x + w / 2) / 1920 AS x_pos, (y + h) / 1080 AS y_pos FROM b)
+SELECT game_key, frame, track AS player_id, CAST(track % 2 AS BIGINT) AS left_to_right, -1 AS shirt_number, round(x_pos, 9) AS x_pos, round(y_pos, 9) AS y_pos,
+ round(coalesce((x_pos - lag(x_pos) OVER o) / greatest(1, frame - lag(frame) OVER o), 0), 9) AS x_speed, round(coalesce((y_pos - lag(y_pos) OVER o) / greatest(1, frame - lag(frame) OVER o), 0), 9) AS y_speed, x AS roi_x, h AS roi_h FROM n WINDOW o AS (PARTITION BY game_key, track ORDER BY frame)""")
+def tracklet_matrix(spark, sf):
+    p = v(spark, sf, "players").select((F.col("frame") % 4).cast("string").alias("game_key"), "frame", "track", (F.col("fx") * 30).alias("x"), (F.col("fy") * 20).alias("y"), F.lit(20.0).alias("w"), F.lit(40.0).alias("h"))
+    m = tracklets.matrix(p, "game_key", "frame", "track", F.col("track") % 2, 1920.0, 1080.0)
+    return m.select("game_key", "frame", "player_id", "left_to_right", "shirt_number", *(F.round(c, 9).alias(c) for c in ("x_pos", "y_pos", "x_speed", "y_speed")), "roi_x", "roi_h")
+
+
+@query()
+def track_association(spark, sf):
+    b = v(spark, sf, "boxes").withColumn("match_id", F.col("frame") % 8)
+    return tracklets.associate(b, ["match_id"], lost=200).select("match_id", "frame", "det", "track")
+
+
 @query("""{trajectory} SELECT track, idx, last_value(CASE WHEN event_type = 'click' THEN 'click' END IGNORE NULLS) OVER (PARTITION BY track ORDER BY idx RANGE BETWEEN 299 PRECEDING AND CURRENT ROW) AS held FROM trajectory""")
 def action_hold(spark, sf):
     t = v(spark, sf, "trajectory").withColumn("action", F.when(F.col("event_type") == "click", F.col("event_type")))
@@ -756,6 +921,35 @@ def osl_roundtrip(spark, sf):
     return documents.osl_events(docs).select(F.col("match_id").cast("long").alias("match_id"), "label", "frame", "position_ms", "confidence")
 
 
+@query("{samples} SELECT CAST(match_id AS VARCHAR) AS video, frame, round(ts_ms / 1000.0::DOUBLE, 3) AS timestamp_s, CASE WHEN visible THEN px END AS h0, CASE WHEN visible THEN py END AS h5, CASE WHEN visible THEN 1.0::DOUBLE END AS h8 FROM samples")
+def homography_cache(spark, sf):
+    h = F.when(F.col("visible"), F.array("px", *(F.lit(0.0) for _ in range(4)), "py", F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    s = v(spark, sf, "samples").select("match_id", "frame", (F.col("ts_ms") / 1000.0).alias("timestamp_s"), h.alias("h"))
+    back = documents.homographies(documents.homography_document(s, "match_id"))
+    return back.select("video", "frame", "timestamp_s", *(F.col("h")[i].alias(f"h{i}") for i in (0, 5, 8)))
+
+
+@query("{dated} SELECT CAST(match_id AS VARCHAR) AS video, frame, round(ts, 2) AS timestamp_s, lpad(CAST(CAST(floor(ts / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || format('{:04.1f}', ts % 60) AS timestamp_hms, CASE WHEN frame % 2 = 0 THEN 'left' ELSE 'right' END AS goal_zone, CASE WHEN frame % 3 = 0 THEN 2.5::DOUBLE END AS field_x_m FROM dated")
+def candidate_document(spark, sf):
+    d = v(spark, sf, "dated").select("match_id", "frame", "ts", F.lit(0.5).alias("conf"), F.lit(1.0).alias("px"), F.lit(2.0).alias("py"), F.when(F.col("frame") % 2 == 0, "left").otherwise("right").alias("zone"), F.when(F.col("frame") % 3 == 0, 2.5).alias("fx"), F.lit(None).cast("double").alias("fy"))
+    back = documents.candidates(documents.candidates_document(d, "match_id", 30.0, 5.0))
+    return back.select("video", "frame", "timestamp_s", "timestamp_hms", "goal_zone", "field_x_m")
+
+
+@query(f"{{samples}}, {_SEGMENTS} SELECT CAST(match_id AS VARCHAR) AS video, round(start_ms / 1000.0::DOUBLE, 3) AS start_s, round(end_ms / 1000.0::DOUBLE, 3) AS end_s, round((end_ms - start_ms) / 1000.0::DOUBLE, 3) AS duration_s, reason FROM seg")
+def cuts_document(spark, sf):
+    p = _plan(spark, sf)
+    return documents.cuts(documents.cuts_document(p.removed, p.kept, p.totals, "match_id"))
+
+
+@query("{dated} SELECT label, coalesce(team, 'unknown') AS team, count(*) AS n FROM dated GROUP BY ALL")
+def stats_document(spark, sf):
+    d = v(spark, sf, "dated")
+    doc = documents.stats_document("m", d, metrics.distance(v(spark, sf, "trajectory"), ["track"], "idx", "x", "y"))
+    nested = F.from_json("doc", "event_counts_by_team map<string,map<string,bigint>>")["event_counts_by_team"]
+    return doc.select(F.explode(nested).alias("label", "teams")).select("label", F.explode("teams").alias("team", "n"))
+
+
 @query("{boxes} SELECT det AS track, frame, x1, y2 FROM boxes")
 def tracks_transpose(spark, sf):
     t = documents.tracks_document(v(spark, sf, "boxes"), "det", "frame", ("x1", "y1", "x2", "y2"))

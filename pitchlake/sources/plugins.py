@@ -47,7 +47,7 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.mp4") -> DataFra
 
 
 def video_metadata(files: DataFrame, probe: Callable[[str], dict[str, float]]) -> DataFrame:
-    """path, fps, total_frames, width, height, duration by a probe that workers can call."""
+    """path, fps, total_frames, width, height, duration by a probe that workers can call; it raises FileNotFoundError for a file that isn't there."""
 
     schema = "path string, fps double, total_frames long, width int, height int"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -65,6 +65,42 @@ def cut_commands(cuts: DataFrame) -> DataFrame:
     return cuts.withColumn("args", F.array(F.lit("-ss"), start, F.lit("-i"), "path", F.lit("-t"), F.format_string("%.3f", "duration_s"), "out"))
 
 
+def concat_commands(parts: DataFrame, key: list[str], order: str) -> DataFrame:
+    """key, list, args: how an external tool joins the clips of each key in order; a single clip is copied."""
+    g = parts.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "path"))), lambda p: p["path"]).alias("_paths"))
+    quoted = F.transform("_paths", lambda p: F.concat(F.lit("file '"), F.replace(p, F.lit("'"), F.lit("'\\''")), F.lit("'")))
+    out = F.concat(*(F.col(k).cast("string") for k in key), F.lit(".mp4"))
+    joined = F.array(F.lit("-f"), F.lit("concat"), F.lit("-safe"), F.lit("0"), F.lit("-i"), F.lit("list.txt"), F.lit("-c"), F.lit("copy"), out)
+    return g.select(*key, F.array_join(quoted, "\n").alias("list"), F.when(F.size("_paths") == 1, F.array(F.lit("-i"), F.col("_paths")[0], F.lit("-c"), F.lit("copy"), out)).otherwise(joined).alias("args"))
+
+
+def frame(frames: DataFrame, n: int, column: str = "frame") -> DataFrame:
+    """One frame of a table of decoded frames; no row if it isn't there."""
+    return frames.where(F.col(column) == n)
+
+
+def ask_context(events: DataFrame, columns: tuple[str, ...] = ("frame", "label", "timestamp_s", "confidence")) -> DataFrame:
+    """events with prompt: what a language model is told of each event, and the form of its reply."""
+    facts = F.to_json(F.struct(*(c for c in columns if c in events.columns)))
+    return events.withColumn("prompt", F.concat(F.lit("Event: "), facts, F.lit('\nReply with JSON: {"verified": true or false, "reason": "..."}')))
+
+
+class Unavailable:
+    """A model that has a place here but doesn't come with the package."""
+
+    def __init__(self, name: str, module: str):
+        self.name, self.module = name, module
+
+    def is_available(self) -> bool:
+        from importlib.util import find_spec
+
+        return find_spec(self.module) is not None
+
+
+#: Adapters of outside trackers and segmenters.
+ADAPTERS = {"gamestate": Unavailable("gamestate", "tracklab"), "sam3": Unavailable("sam3", "sam3")}
+
+
 def classify_reply(replies: DataFrame, column: str, schema: str) -> DataFrame:
     """A model's reply as a struct: the JSON between its outer braces, null if there is none."""
     inner = F.regexp_extract(column, r"(?s)\{.*\}", 0)

@@ -151,11 +151,122 @@ def test_kalman_fold(spark):
             rows.append((t, rng.random() > 0.1, x + rng.gauss(0, 6) + jump, 300 + rng.gauss(0, 6)))
         data += [(k, i, t, s, a, b, None, None, 0.5) for i, (t, s, a, b) in enumerate(rows)]
         want += [(k, *r) for r in kalman_loop(rows)]
-    got = sorted(sequence.kalman(spark.createDataFrame(data, BALL).repartition(4), ["match_id"]).collect(), key=lambda r: (r.match_id, r.ts_ms))
-    assert len(got) == len(want) and any(r.outlier for r in got)
+    every = sorted(sequence.kalman(spark.createDataFrame(data, BALL).repartition(4), ["match_id"]).collect(), key=lambda r: (r.match_id, r.ts_ms))
+    got = [r for r in every if r.smoothed]
+    assert len(every) == len(data) and len(got) == len(want) and any(r.outlier for r in got)
     for a, b in zip(got, want, strict=True):
         assert (a.match_id, a.ts_ms, a.outlier) == (b[0], b[1], b[4])
-        assert a.x == pytest.approx(b[2], abs=1e-6) and a.y == pytest.approx(b[3], abs=1e-6)
+        assert a.px == pytest.approx(b[2], abs=1e-6) and a.py == pytest.approx(b[3], abs=1e-6)
+
+
+def test_unseen_samples_pass_through_untouched(spark):
+    rows = [(1, 0, 0, True, 500.0, 1.0, None, None, 0.5), (1, 1, 200, False, None, None, 3.0, 4.0, 0.1), (1, 2, 400, False, 7.0, 8.0, None, None, 0.2), (1, 3, 600, True, 505.0, 1.0, None, None, 0.9)]
+    out = sorted(sequence.kalman(spark.createDataFrame(rows, BALL), ["match_id"]).collect(), key=lambda r: r.frame)
+    assert [tuple(r)[:9] for r in out[1:3]] == rows[1:3]  # all columns as they were
+    assert [(r.raw_x, r.smoothed, r.outlier) for r in out[1:3]] == [(None, False, False)] * 2
+    assert out[3].raw_x == 505.0 and out[3].smoothed and out[3].conf == 0.9
+
+
+def test_filters_on_many_samples(spark, tmp_path):
+    """Ten thousand samples of one match, in small batches, against loops that hold them all."""
+    rng = random.Random(4)
+    n, x = 10_000, 500.0
+    rows = []
+    for i in range(n):
+        x = min(1900.0, max(0.0, x + rng.gauss(0, 20)))
+        rows.append((1, i, i * 200, rng.random() > 0.2, x + (800 if rng.random() < 0.01 else 0), 300.0 + rng.gauss(0, 5), None, None, 0.5))
+    df = spark.createDataFrame(rows, BALL).repartition(7)
+    want = kalman_loop([(r[2], r[3], r[4], r[5]) for r in rows])
+    got = [r for r in sequence.kalman(df, ["match_id"]).orderBy("ts_ms").collect() if r.smoothed]
+    assert [(r.ts_ms, r.outlier) for r in got] == [(w[0], w[3]) for w in want]
+    assert max(abs(r.px - w[1]) for r, w in zip(got, want, strict=True)) < 1e-5
+    now, smooth = 250.0, []
+    for r in rows:
+        now += 0.3 * (r[4] - now) if r[3] else 0.0
+        smooth.append(now)
+    seen = df.withColumn("t", F.when(F.col("visible"), F.col("px")))
+    got = [r.smooth for r in sequence.ema(seen, ["match_id"], "frame", "t", 250.0, 0.3).orderBy("frame").collect()]
+    assert got == pytest.approx(smooth, abs=1e-6)
+
+
+def test_attempts_and_halves(spark):
+    rows = spark.createDataFrame([(1, f, float(f) if f not in (0, 310) else None) for f in range(0, 1000, 10)], "m long, f long, v double")
+    out = sequence.registered(rows, ["m"], "f", "v", 300).orderBy("f").collect()
+    assert [r.f for r in out if r.attempt] == [0, 300, 600, 900]
+    assert [out[i].current for i in (0, 29, 30, 31, 60, 99)] == [None, None, 300.0, 300.0, 600.0, 900.0]
+    t = F.lit(1000)
+    assert [sequence.half(rows, "f", w, t, h).count() for w in ("first", "second", "both") for h in (None, F.lit(0), F.lit(200))] == [50, 50, 20, 50, 50, 80, 100, 100, 100]
+
+
+def test_association(spark):
+    box = lambda f, x, c: (1, f, float(x), 0.0, x + 10.0, 10.0, c)
+    rows = [box(f, 5 * f, 0.9 if f != 3 else 0.15) for f in range(8) if f != 5] + [box(f, 200 - f, 0.8) for f in range(8)] + [box(2, 500, 0.15), box(50, 36, 0.9)]
+    got = tracklets.associate(spark.createDataFrame(rows, "m long, frame long, x1 double, y1 double, x2 double, y2 double, conf double").repartition(3), ["m"], overlap=0.01, lost=30).collect()
+    of = {(r.frame, r.x1): r.track for r in got}
+    first = {of[f, 5.0 * f] for f in range(5)}
+    assert len(got) == len(rows) and len(first) == 1 and {of[f, 200.0 - f] for f in range(8)} == {3 - first.pop()}
+    assert of[2, 500.0] is None and of[50, 36.0] not in (1, 2)  # weak alone; after a long gap a new one
+
+
+def test_rects_and_hull_against_plain_code(spark):
+    rng = random.Random(8)
+    boxes = [(x, y, x + rng.choice([3.9, 4, 12, 30.5, 80]), y + rng.choice([7.5, 8, 23, 24, 90.25])) for x, y in ((rng.uniform(-40, 1930), rng.uniform(-40, 1090)) for _ in range(300))]
+    hull = [(100.0, 100.0), (1800.0, 150.0), (1700.0, 950.0), (200.0, 900.0)]
+
+    def part(box, least, side, top, bottom, result):
+        x1, y1, x2, y2 = box
+        w, h = x2 - x1, y2 - y1
+        a, c = max(0, round(x1 + w * side)), min(1920, round(x2 - w * side))
+        b, d = max(0, round(y1 + h * top)), min(1080, round(y1 + h * bottom))
+        return (a, b, c, d) if w >= least[0] and h >= least[1] and c - a >= result and d - b >= result else (None,) * 4
+
+    def away(x, y):
+        best, inside = 1e9, True
+        for (ax, ay), (bx, by) in zip(hull, hull[1:] + hull[:1], strict=True):
+            inside &= (bx - ax) * (y - ay) >= (by - ay) * (x - ax)
+            best = min(best, min(((x - ax - (bx - ax) * t / 2000) ** 2 + (y - ay - (by - ay) * t / 2000) ** 2) ** 0.5 for t in range(2001)))
+        return best if inside else -best
+
+    df = spark.createDataFrame(boxes, "x1 double, y1 double, x2 double, y2 double")
+    b = [F.col(c) for c in df.columns]
+    rows = df.select(*g.torso_rect(*b), *g.number_rect(*b), g.hull_distance(b[0], b[1], hull)).collect()
+    for box, r in zip(boxes, rows, strict=True):
+        assert tuple(r[:4]) == part(box, (4, 8), 0.2, 0.2, 0.55, 2) and tuple(r[4:8]) == part(box, (12, 24), 0.1, 0.0, 0.55, 8)
+        assert r[8] == pytest.approx(away(box[0], box[1]), abs=1.0)
+    corner = spark.createDataFrame([(81.0, 81.0)], "x double, y double").select(g.hull_distance(F.col("x"), F.col("y"), hull)).first()[0]
+    assert corner == pytest.approx(-((19**2 * 2) ** 0.5))
+
+
+def test_pairing_against_a_search_of_all_clips(spark):
+    rng = random.Random(21)
+    e = [("r", i, rng.randrange(0, 300) / 2) for i in range(150)]
+    c = [("r", 1000 + i, rng.randrange(0, 300) / 2, f"n{rng.randrange(10**6)}") for i in range(120)]
+    left, want = sorted((t, n) for _, _, t, n in c), {}
+    for _, i, t in e:
+        best = min(left, key=lambda x: (abs(x[0] - t), x[1]), default=None)
+        want[i] = None
+        if best is not None and abs(best[0] - t) <= 2:
+            left.remove(best)
+            want[i] = best[1]
+    events, clips = spark.createDataFrame(e, "run string, idx int, ts double"), spark.createDataFrame(c, "run string, idx int, ts double, name string")
+    assert {r.idx: r.clip for r in review.pair_clips(events, clips, "run").collect()} == want
+
+
+def test_admission_with_equal_order(spark):
+    cc = "Creative Commons Attribution"
+    rows = [(i, "a", None, f"c{i}", cc, 900.0, 5) for i in (1, 2, 3, 3)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, channel string, license string, duration double, seq int")
+    seen = spark.createDataFrame([], "id long, channel string")
+    got = sorted((r.id, r.reason) for r in harvest.admission(df, seen, "seq", target=2).collect())
+    assert got == [(1, "kept"), (2, "kept"), (3, "seen"), (3, "target")]
+
+
+def test_sql_functions(spark):
+    from pitchlake.functions import sql
+
+    assert "goal_zone" in sql.register(spark)
+    r = spark.sql("SELECT goal_zone(2D, 18D), in_corner(0.5D, 0.5D), on_touchline(1D), clip_start(2D, 5D), box_overlap(array(0D,0D,2D,2D), array(1D,0D,3D,2D))").first()
+    assert tuple(r) == ("left", True, True, 0.0, pytest.approx(1 / 3))
 
 
 def test_nearest_in_frames(spark):
@@ -258,7 +369,23 @@ def test_two_teams(spark):
     m = spark.createDataFrame([(i, 250.0, 10.0, 10.0) for i in range(4)] + [(i, 10.0, 10.0, 250.0) for i in range(4, 8)], "track long, b double, g double, r double")
     out = {r.track: r.team for r in identity.two_teams(m, ["track"]).collect()}
     assert len(set(out.values())) == 2 and len({out[i] for i in range(4)}) == 1
-    assert [r.team for r in identity.two_teams(m.limit(1), ["track"]).collect()] == ["team_a"]
+    assert {r.track: r.cluster for r in identity.two_teams(m, ["track"]).collect()} == {i: "team_a" if i < 4 else "team_b" for i in range(8)}
+    assert [(r.cluster, r.team) for r in identity.two_teams(m.where("track = 0"), ["track"]).collect()] == [("team_a", "blue")]
+    assert identity.two_teams(m.limit(0), ["track"]).collect() == []
+
+
+def test_lab_clusters_against_plain_two_means(spark):
+    rng = random.Random(13)
+    rows = [(i, *(float(rng.randrange(256)) for _ in range(3))) for i in range(60)]
+    m = spark.createDataFrame(rows, "track long, b double, g double, r double")
+    lab_of = {r.track: tuple(r)[1:] for r in m.select("track", *g.lab_colour(F.col("b"), F.col("g"), F.col("r"))).collect()}
+    assert spark.range(1).select(*g.lab_colour(F.lit(255.0), F.lit(255.0), F.lit(255.0))).first()[0] == pytest.approx(100, abs=0.01)
+    centres = [min(lab_of.values()), max(lab_of.values())]
+    for _ in range(20):
+        side = {t: sum((a - b) ** 2 for a, b in zip(v, centres[1], strict=True)) < sum((a - b) ** 2 for a, b in zip(v, centres[0], strict=True)) for t, v in lab_of.items()}
+        centres = [tuple(sum(c) / len(c) for c in zip(*[v for t, v in lab_of.items() if side[t] == s], strict=True)) for s in (False, True)]
+    got = {r.track: r.cluster == "team_b" for r in identity.two_teams(m, ["track"]).collect()}
+    assert got == {t: sum((a - b) ** 2 for a, b in zip(v, centres[1], strict=True)) < sum((a - b) ** 2 for a, b in zip(v, centres[0], strict=True)) for t, v in lab_of.items()}
 
 
 def test_lane_grid_covers_all_frames_and_ranked_lanes(spark):

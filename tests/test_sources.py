@@ -62,7 +62,7 @@ def test_store(spark, tmp_path):
 
 
 def test_profiles(spark):
-    assert profiles.roster(spark, {"players": [{"jersey": 7, "name": "A"}]}).first().jersey == 7
+    assert profiles.roster(spark, {"roster": [{"jersey": 7, "name": "A"}]}).first().jersey == 7
     assert profiles.roster(spark, None).count() == 0 and profiles.run_paths("runs", "m")["stats"] == "runs/m/stats.json"
 
 
@@ -99,6 +99,57 @@ def test_stream_matches_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("taken").collect())) == sorted(map(tuple, batch.select("match_id", "ts_ms", "frame").collect()))
 
 
-def test_windows_and_sessions_plan(spark):
-    s = spark.readStream.format("rate").load().selectExpr("value % 2 as match_id", "timestamp as ts", "value % 3 = 0 as visible", "value as id")
-    assert online.windows(s).isStreaming and online.sessions(s).columns == ["match_id", "start", "end", "n"] and online.once(s).isStreaming
+def run_stream(spark, rows, schema, make, tmp_path, name):
+    """Rows in two files, then one that moves the watermark past everything."""
+    src = tmp_path / name
+    src.mkdir()
+    cut = len(rows) // 2
+    for i, part in enumerate((rows[:cut], rows[cut:], [(9, pd.Timestamp("2030-01-01"), False)])):
+        pd.DataFrame(part, columns=["match_id", "ts", "visible"]).astype({"ts": "datetime64[us]"}).to_parquet(src / f"{i}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{src}")
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"file://{tmp_path}/cp-{name}").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return sorted(map(tuple, spark.table(name).where("match_id < 9").collect()))
+
+
+def test_windows_and_sessions_match_batch(spark, tmp_path):
+    start = pd.Timestamp("2024-05-01 10:00:00")
+    rows = [(k, start + pd.Timedelta(milliseconds=700 * i), (i // 9 + k) % 3 != 0) for i in range(60) for k in (1, 2)]
+    schema = "match_id long, ts timestamp, visible boolean"
+    batch = spark.createDataFrame([(k, t.to_pydatetime(), v) for k, t, v in rows], schema)
+    for name, make in (("spans", online.windows), ("dead", online.sessions)):
+        assert run_stream(spark, rows, schema, make, tmp_path, name) == sorted(map(tuple, make(batch).collect())) != []
+
+
+def test_document_metadata(spark):
+    e = spark.createDataFrame([(1, "shot", 5, "v.mp4"), (2, "goal", 6, None)], "match_id long, label string, position_ms long, video string")
+    docs = documents.osl_documents(e, "match_id", ["label", "position_ms"], {"video_path": F.col("video"), "fps": F.lit(25.0)})
+    got = {r.match_id: r for r in documents.osl_metadata(docs).collect()}
+    assert got["1"].metadata == {"video_path": "v.mp4", "fps": "25.0"} and got["2"].metadata == {"fps": "25.0"}
+    assert got["1"].format == "osl-json" and got["1"].version == "2.0" and '"tracking":[]' in docs.first().doc
+
+
+def test_yaml_profile(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "p.yaml").write_text("team_name: A\nroster:\n  - name: Ada\n    jersey: 7\n    role: mid\n  - name: Zoe\n")
+    (tmp_path / "empty.yaml").write_text("")
+    p = profiles.read_yaml(str(tmp_path / "p.yaml"))
+    assert sorted((r.name, r.jersey, r.role) for r in profiles.roster(spark, p).collect()) == [("Ada", 7, "mid"), ("Zoe", None, None)]
+    assert profiles.read_yaml(str(tmp_path / "empty.yaml")) == {}
+
+
+def test_tracklets_on_disk(spark, tmp_path):
+    rows = spark.createDataFrame([("g1", 1, 2.0), ("g2", 1, 3.0)], "game_key string, frame long, x double")
+    path = f"file://{tmp_path}/t"
+    documents.write_tracklets(rows, spark.createDataFrame([("g1", 30.0)], "game_key string, fps double"), path)
+    assert documents.read_tracklets(spark, path).count() == 2 and documents.read_tracklets(spark, path, "g2").first().x == 3.0
+
+
+def test_reels(spark):
+    parts = spark.createDataFrame([("r", 2, "b's.mp4"), ("r", 1, "a.mp4"), ("s", 1, "c.mp4")], "reel string, n int, path string")
+    got = {r.reel: r for r in plugins.concat_commands(parts, ["reel"], "n").collect()}
+    assert got["r"].list == "file 'a.mp4'\nfile 'b'\\''s.mp4'" and got["r"].args[:2] == ["-f", "concat"]
+    assert got["s"].args == ["-i", "c.mp4", "-c", "copy", "s.mp4"]
+    assert not plugins.ADAPTERS["sam3"].is_available()
+    e = spark.createDataFrame([(3, "shot")], "frame long, label string")
+    assert '"label":"shot"' in plugins.ask_context(e).first().prompt and plugins.frame(e, 4).count() == 0
