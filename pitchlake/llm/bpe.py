@@ -1,4 +1,10 @@
-"""Operator 3: BPE encoding and decoding through a distinct-word table."""
+"""Operator 3: BPE encoding and decoding through a distinct-word table.
+
+Texts are dealt into chunks of bounded size. Each chunk is split into words; each
+distinct word of all texts is encoded once by the library, and its ids are decoded
+through a join with the id-to-piece table. The table's rows are joined to the chunks
+whose words they are, and there ids and pieces are put back by position.
+"""
 
 from __future__ import annotations
 
@@ -7,68 +13,126 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, slices, texts, tuned
-from .tokenizing import WordTable, load, tokenizer_file
+from .common import bucketed, frugal, slices, stored, texts, tuned
+from .tokenizing import load, pre_split, tokenizer_file
+
+#: Bytes of text in a chunk on the average; chunks at most, beyond which they grow.
+CHUNK_BYTES, CHUNKS = 16 << 20, 50_000
+#: Distinct words that a task holds before it hands them on.
+HELD_WORDS = 500_000
 
 
 @lru_cache(1)
 def pieces(path: str) -> list[str]:
-    """The id-to-piece table."""
+    """The pieces by id."""
     library = load(path)
     return [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
 
 
-@lru_cache(1)
-def _table(path: str) -> WordTable:
-    piece = pieces(path)
-    return WordTable(path, "word", lambda ids: (np.array(ids, "<u4").tobytes(), " ".join(map(piece.__getitem__, ids))))
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece: a row for each entry of the vocabulary."""
+    return spark.createDataFrame(list(enumerate(pieces(path))), "id long, piece string")
+
+
+def _chunks(src: DataFrame) -> DataFrame:
+    """src with chunk, in files by chunk. Rows are numbered for it, so neither ids nor texts that repeat pile up."""
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(min(CHUNKS, max(2, size // CHUNK_BYTES)))
+    return bucketed(src.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "chunk", n, "chunks")
+
+
+def _words(chunks: DataFrame) -> DataFrame:
+    """chunk, word: the distinct words of each chunk."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
+            for k, words in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int32()), pa.array(words, pa.string())], ["chunk", "word"])
+
+        seen: dict[int, set[str]] = {}
+        for batch in slices(batches, "text"):
+            for k, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                words = pre_split(t, "word")
+                if words:
+                    seen.setdefault(k, set()).update(words)
+            if sum(map(len, seen.values())) > HELD_WORDS:
+                yield from out(seen)
+                seen = {}
+        yield from out(seen)
+
+    return chunks.select("chunk", "text").mapInArrow(run, "chunk int, word string").distinct()
+
+
+def _encoded(words: DataFrame, path: str) -> DataFrame:
+    """word, ids binary, decoded: each word's ids and their pieces, one space between."""
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = load(path)
+        for b in batches:
+            ids = [e.ids for e in library.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], ["word", "ids"])
+
+    table = stored(words.mapInArrow(run, "word string, ids array<long>"), "word-ids")
+    # ids of words to pieces by a join; the vocabulary, some fifty thousand rows, is the broadcast side
+    each = table.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(piece_table(words.sparkSession, path)), "id")
+    decoded = each.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), " ").alias("decoded"))
+    return table.join(decoded, "word", "left").select("word", "ids", F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """One row per input row: id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded string.
 
-    A task splits its texts into words, has each distinct word encoded once by the
-    library and decoded once through the id-to-piece table, and joins both back by
-    position. Null and empty texts have 0 tokens, empty ids and text; long texts are
-    encoded whole; texts with special tokens or with code points beyond Latin go to the
-    library whole. Repeated rows, ties of ids and null ids are kept as they are, an empty
-    table gives no rows; other columns are left out whatever their names. Nothing is
-    shuffled; a lost task is recomputed from its own rows.
+    Null and empty texts have 0 tokens, empty ids and text; long texts are encoded whole;
+    texts with special tokens or with code points beyond Latin go to the library whole.
+    Repeated rows, ties of ids and null ids are kept as they are, an empty table gives no
+    rows; other columns are left out whatever their names. Texts are written once, by
+    chunk, and not shuffled after that; what is shuffled are each chunk's distinct words.
+    A lost task is computed again from its chunk.
     """
     path = tokenizer_file(tokenizer)
     tuned(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, piece = _table(path), pieces(path)
-        for batch in slices(batches, "text"):
-            every = texts(batch.column(1))
-            lists = [table.words(t) for t in every]
-            table.learn(lists)
-            ids, decoded = [], []
-            for t, words in zip(every, lists, strict=True):
-                if words is None:
-                    one = load(path).encode(t, add_special_tokens=False).ids
-                    ids.append(np.array(one, "<u4").tobytes())
-                    decoded.append(" ".join(map(piece.__getitem__, one)))
+    chunks = _chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    used = stored(_words(chunks), "chunk-words")
+    table = stored(_encoded(used.select("word").distinct(), path), "words")
+    known = used.join(table, "word").select("chunk", "word", "ids", "decoded")
+
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
+        ids = words.column("ids").combine_chunks()
+        packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        ends = 4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)) if len(words) else []
+        found, start = {}, 0
+        for word, end, decoded in zip(words.column("word").to_pylist(), ends, words.column("decoded").to_pylist(), strict=True):
+            found[word] = (packed[start:end], decoded)
+            start = int(end)
+        parts = []
+        for batch in slices(iter(own.to_batches()), "text"):
+            out_ids, out_text = [], []
+            for t in texts(batch.column(batch.schema.get_field_index("text"))):
+                split = pre_split(t, "word")
+                if split is None:
+                    one, piece = load(path).encode(t, add_special_tokens=False).ids, pieces(path)
+                    out_ids.append(np.array(one, "<u4").tobytes())
+                    out_text.append(" ".join(map(piece.__getitem__, one)))
                 else:
-                    got = [table[w] for w in words]
-                    ids.append(b"".join([x[0] for x in got]))
-                    decoded.append(" ".join([x[1] for x in got]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids", "decoded"])
-        table.clear()
+                    got = [found[w] for w in split]
+                    out_ids.append(b"".join([x[0] for x in got]))
+                    out_text.append(" ".join([x[1] for x in got]))
+            sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+            parts.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), sizes, pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], ["id", "n_tokens", "ids", "decoded"]))
+        return pa.Table.from_batches(parts, None if parts else pa.schema([("id", own.schema.field("id").type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = src.mapInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
+    out = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    """Adds column decoded: the pieces of packed ids, as the library's decode gives them; null stays null."""
+    """Adds column decoded: the pieces of packed ids, as the library's decode gives them; null stays null, empty is empty."""
     path = tokenizer_file(tokenizer)
     tuned(encoded.sparkSession)
 

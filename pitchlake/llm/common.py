@@ -83,6 +83,19 @@ def forget(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """df in files by n buckets of key, so that joins by key don't shuffle it. The files go when the driver ends, the catalogue's entry at once."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() * n > 20_000:  # each task writes a file per bucket
+        df = df.repartition(n, key)
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).mode("append").option("compression", "zstd").option("path", scratch(spark, label)).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now: the plan keeps the files and their buckets, the catalogue needn't
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so in any case."""
     taken = {c.lower() for c in df.columns}

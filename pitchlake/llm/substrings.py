@@ -15,7 +15,6 @@ ranks of cover samples would have to resolve.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, list_column, mix, prefix_sums, scratch, slices, spans, stored, tuned, utf8
+from .common import bucketed, frugal, list_column, mix, prefix_sums, slices, spans, stored, tuned, utf8
 
 LENGTH = 100
 Q = 32
@@ -364,17 +363,8 @@ def _compared(text: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def _text_table(docs: DataFrame) -> DataFrame:
     """The texts in files by id, so that joins by id don't shuffle them."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(50_000, max(4, size // BUCKET_BYTES)))
-    if docs.rdd.getNumPartitions() * n > 20_000:
-        docs = docs.repartition(n, "id")
-    name = f"texts_{uuid.uuid4().hex}"
-    docs.write.bucketBy(n, "id").mode("append").option("compression", "zstd").option("path", scratch(spark, "texts")).saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # resolved now: the plan keeps the files and their buckets, the catalogue needn't
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return bucketed(docs, "id", int(min(50_000, max(4, size // BUCKET_BYTES))), "texts")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

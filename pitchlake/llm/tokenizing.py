@@ -54,21 +54,26 @@ PIECES = {
 }
 
 
+def pre_split(text: str, kind: str) -> list[str] | None:
+    """The words that the library would split a text into, or None if only the library can tell."""
+    if UNUSUAL.search(text):
+        return None
+    return PIECES[kind].findall(text.lower() if kind == "word" else text)
+
+
 class WordTable(dict):
     """word -> what value(library encoding) gives; each distinct word is encoded once."""
 
     def __init__(self, path: str, kind: str, value):
         super().__init__()
-        self.library, self.split, self.kind, self.value = load(path), PIECES[kind].findall, kind, value
+        self.library, self.kind, self.value = load(path), kind, value
 
     def whole(self, text: str):
         return self.value(self.library.encode(text, add_special_tokens=False).ids)
 
     def words(self, text: str) -> list[str] | None:
         """The text's words, or None if only the library can split it."""
-        if UNUSUAL.search(text):
-            return None
-        return self.split(text.lower() if self.kind == "word" else text)
+        return pre_split(text, self.kind)
 
     def learn(self, lists: list[list[str] | None]) -> None:
         seen = set().union(*(x for x in lists if x))
