@@ -123,8 +123,8 @@ class Registry:
         if not parts:
             return None
         every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        ts = F.coalesce("ts_ms", F.lit(0)) if "ts_ms" in every.columns else F.lit(0)
-        return every.orderBy(ts, "_engine", *(c for c in ("match_id", "frame") if c in every.columns)).drop("_engine")
+        ts = [F.coalesce("ts_ms", F.lit(0))] if "ts_ms" in every.columns else []
+        return every.orderBy(*ts, "_engine", *(c for c in ("match_id", "frame") if c in every.columns)).drop("_engine")
 
 
 def default_registry() -> Registry:

@@ -52,7 +52,8 @@ def two_teams(medians: DataFrame, key: list[str], columns: tuple[str, str, str]
     one aggregation to two rows of means. A lone track is team_a.
     """
     axes = ("_l", "_a", "_b")
-    lab = medians.withColumns(dict(zip(axes, lab_colour(*(F.col(c) for c in columns)), strict=True)))
+    # a row per track of one match, read again in each round
+    lab = medians.withColumns(dict(zip(axes, lab_colour(*(F.col(c) for c in columns)), strict=True))).persist()
     place = F.struct(*axes, *key)
     ends = lab.agg(F.min(place).alias("a"), F.max(place).alias("b")).first()
     if ends["a"] is None:

@@ -525,11 +525,11 @@ k(match_id, rn, ts_ms, x, y, vx, vy, p, c, v, rejects, outlier) AS (
      FROM k JOIN (SELECT *, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY match_id ORDER BY rn) > 1000, false) AS s FROM o) o ON o.match_id = k.match_id AND o.rn = k.rn + 1) b) m) e) u)"""
 
 
-@query(f"""{{samples}}, {_KALMAN} SELECT s.match_id, s.ts_ms, CASE WHEN k.rn IS NULL THEN round(s.px, 1) ELSE round(k.x, 1) END AS x, CASE WHEN k.rn IS NULL THEN round(s.py, 1) ELSE round(k.y, 1) END AS y,
+@query(f"""{{samples}}, {_KALMAN} SELECT s.match_id, s.ts_ms, round(CASE WHEN k.rn IS NULL THEN s.px ELSE k.x END, 1) + 0 AS x, round(CASE WHEN k.rn IS NULL THEN s.py ELSE k.y END, 1) + 0 AS y,
  CASE WHEN k.rn IS NOT NULL THEN s.px END AS raw_x, CASE WHEN k.rn IS NOT NULL THEN s.py END AS raw_y, k.rn IS NOT NULL AS smoothed, coalesce(k.outlier, false) AS outlier FROM samples s LEFT JOIN k ON k.match_id = s.match_id AND k.ts_ms = s.ts_ms""")
 def kalman_smooth(spark, sf):
     k = sequence.kalman(v(spark, sf, "samples"), ["match_id"])
-    return k.select("match_id", "ts_ms", F.round("px", 1).alias("x"), F.round("py", 1).alias("y"), "raw_x", "raw_y", "smoothed", "outlier")
+    return k.select("match_id", "ts_ms", (F.round("px", 1) + 0.0).alias("x"), (F.round("py", 1) + 0.0).alias("y"), "raw_x", "raw_y", "smoothed", "outlier")
 
 
 @query("""{samples}, b AS (SELECT match_id, frame, CASE WHEN frame % 3 <> 0 THEN px END AS val FROM samples WHERE visible),
@@ -652,7 +652,23 @@ def track_median_colour(spark, sf):
     return identity.track_colours(v(spark, sf, "colours"), ["track"])
 
 
-@query()
+_LIN = "CASE WHEN {c} / 255.0::DOUBLE <= 0.04045 THEN {c} / 255.0::DOUBLE / 12.92 ELSE power(({c} / 255.0::DOUBLE + 0.055) / 1.055, 2.4::DOUBLE) END AS {c}l"
+_CUBE = "CASE WHEN {t} > 0.008856 THEN power({t}, 1 / 3.0::DOUBLE) ELSE 7.787::DOUBLE * {t} + 16 / 116.0::DOUBLE END AS {n}"
+_NEARER = "(l - l1) * (l - l1) + (a - a1) * (a - a1) + (b_ - b1) * (b_ - b1) < (l - l0) * (l - l0) + (a - a0) * (a - a0) + (b_ - b0) * (b_ - b0)"
+#: Two means from the least and the greatest row, twenty rounds.
+_CLUSTERS = f"""med AS (SELECT track, median(b) AS b, median(g) AS g, median(r) AS r FROM colours GROUP BY track HAVING count(*) >= 3),
+lin AS (SELECT *, {", ".join(_LIN.format(c=c) for c in "bgr")} FROM med),
+xyz AS (SELECT *, (0.412453::DOUBLE * rl + 0.357580::DOUBLE * gl + 0.180423::DOUBLE * bl) / 0.950456::DOUBLE AS xx, 0.212671::DOUBLE * rl + 0.715160::DOUBLE * gl + 0.072169::DOUBLE * bl AS yy, (0.019334::DOUBLE * rl + 0.119193::DOUBLE * gl + 0.950227::DOUBLE * bl) / 1.088754::DOUBLE AS zz FROM lin),
+cub AS (SELECT track, b, g, r, {_CUBE.format(t="xx", n="x3")}, {_CUBE.format(t="yy", n="y3")}, {_CUBE.format(t="zz", n="z3")} FROM xyz),
+lab AS (SELECT track, b, g, r, 116 * y3 - 16 AS l, 500 * (x3 - y3) AS a, 200 * (y3 - z3) AS b_ FROM cub),
+ends AS (SELECT first(l ORDER BY l, a, b_, track) AS l0, first(a ORDER BY l, a, b_, track) AS a0, first(b_ ORDER BY l, a, b_, track) AS b0, last(l ORDER BY l, a, b_, track) AS l1, last(a ORDER BY l, a, b_, track) AS a1, last(b_ ORDER BY l, a, b_, track) AS b1 FROM lab),
+means(n, l0, a0, b0, l1, a1, b1) AS (SELECT 0, l0, a0, b0, l1, a1, b1 FROM ends UNION ALL
+ SELECT n + 1, {", ".join(f"coalesce(avg({v}) FILTER (WHERE {'' if i else 'NOT '}s), min({c}{i}))" for i in (0, 1) for v, c in (("l", "l"), ("a", "a"), ("b_", "b")))} FROM (SELECT *, {_NEARER} AS s FROM means, lab) WHERE n < 20 GROUP BY n),
+own AS (SELECT lab.*, {_NEARER} AS s FROM lab, means WHERE n = 20),
+tm AS (SELECT s, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM own GROUP BY s)"""
+
+
+@query(f"{{colours}}, {_CLUSTERS}, {_HSV.replace('{src}', 'tm')}, named AS (SELECT s2, {_COLOUR} AS team FROM hh) SELECT own.track, CASE WHEN own.s THEN 'team_b' ELSE 'team_a' END AS cluster, named.team FROM own JOIN named ON named.s2 = own.s".replace("hs AS (SELECT *,", "hs AS (SELECT s AS s2, b, g, r,"))
 def team_cluster(spark, sf):
     return identity.two_teams(identity.track_colours(v(spark, sf, "colours"), ["track"]), ["track"])
 
@@ -849,7 +865,15 @@ def clip_name_parse(spark, sf):
     return _names(spark, sf).select("frame", "name", *(c.alias(n) for c, n in zip(p, ("prefix", "idx", "label", "secs"), strict=True)))
 
 
-@query()
+@query(f"""{{dated}}, {_NAMES}, e AS (SELECT match_id AS run, frame AS idx, ts FROM dated),
+c AS (SELECT d.match_id AS run, CASE WHEN d.frame % 5 = 0 THEN d.frame + 1 ELSE d.frame END AS cidx, round_even(d.ts, 0) AS cts, n.name FROM dated d JOIN names n USING (frame) WHERE d.frame % 3 <> 0),
+one AS (SELECT e.run, e.idx, min(c.name) AS clip FROM e JOIN c ON c.run = e.run AND c.cidx = e.idx AND abs(e.ts - c.cts) <= 2 GROUP BY e.run, e.idx),
+rest AS (SELECT e.*, row_number() OVER (PARTITION BY run ORDER BY idx) AS rn FROM e WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.run = e.run AND one.idx = e.idx)),
+free AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.run = c.run AND one.clip = c.name)),
+near AS (SELECT r.run, r.rn, r.idx, list({{'d': abs(f.cts - r.ts), 'n': f.name}} ORDER BY abs(f.cts - r.ts), f.name) FILTER (WHERE f.name IS NOT NULL) AS clips FROM rest r LEFT JOIN free f ON f.run = r.run AND abs(f.cts - r.ts) <= 2 GROUP BY r.run, r.rn, r.idx),
+g(run, rn, idx, clip, used) AS (SELECT DISTINCT run, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM rest UNION ALL
+ SELECT run, rn, idx, clip, CASE WHEN clip IS NULL THEN used ELSE list_append(used, clip) END FROM (SELECT g.run, n.rn, n.idx, g.used, list_filter(coalesce(n.clips, []), lambda x: NOT list_contains(g.used, x.n))[1].n AS clip FROM g JOIN near n ON n.run = g.run AND n.rn = g.rn + 1))
+SELECT run, idx, clip FROM one UNION ALL SELECT run, idx, clip FROM g WHERE rn > 0""")
 def pair_clips(spark, sf):
     d = v(spark, sf, "dated").select(F.col("match_id").alias("run"), F.col("frame").alias("idx"), "ts")
     clips = _names(spark, sf).where("frame % 3 <> 0").select(F.col("match_id").alias("run"), F.when(F.col("frame") % 5 == 0, F.col("frame") + 1).otherwise(F.col("frame")).alias("idx"), F.bround("ts").alias("ts"), "name")
@@ -994,3 +1018,22 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES[FLAGSHIP](spark, sf_dir)
 
 
+
+
+@query("{dated} SELECT frame, CASE WHEN frame % 2 = 0 THEN ts ELSE trunc(ts * 1000) / 1000.0::DOUBLE END AS timestamp_s FROM dated")
+def timestamp_repair(spark, sf):
+    d = v(spark, sf, "dated").select("frame", F.when(F.col("frame") % 2 == 0, F.col("ts")).alias("timestamp_s"), (F.col("ts") * 1000).cast("long").alias("position_ms"))
+    return documents.with_timestamps(d).select("frame", "timestamp_s")
+
+
+@query("{samples} SELECT match_id, frame, px FROM samples")
+def ball_track_samples(spark, sf):
+    doc = v(spark, sf, "samples").groupBy("match_id").agg(F.collect_list(F.struct("match_id", "frame", "px")).alias("samples"))
+    return documents.checked_track(doc)
+
+
+@query("{dated} SELECT match_id, frame, label, 'learned' AS source FROM dated WHERE ts > 300")
+def learned_engine(spark, sf):
+    engines = detect.default_registry()
+    engines.add("learned", lambda: detect.Learned(lambda c: c.balls.where("ts > 300").select("match_id", "frame", "label")))
+    return engines.run(detect.Context(v(spark, sf, "dated")), ["learned"]).select("match_id", "frame", "label", "source")
