@@ -1,9 +1,9 @@
 """Operator 3: BPE encoding and decoding through a distinct-word table.
 
 Texts are dealt into chunks of bounded size. Each chunk is split into words; each
-distinct word of all texts is encoded once by the library, and its ids are decoded
-through a join with the id-to-piece table. The table's rows are joined to the chunks
-whose words they are, and there ids and pieces are put back by position.
+distinct word of all texts is encoded once by the library. The table's rows are joined
+to the chunks whose words they are; there ids are joined to their pieces, and both are
+put back by position.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, frugal, slices, stored, texts, tuned
+from .common import bucketed, frugal, stored, texts, tuned
 from .tokenizing import load, pre_split, tokenizer_file
 
 #: Bytes of text in a chunk on the average; chunks at most, beyond which they grow.
-CHUNK_BYTES, CHUNKS = 16 << 20, 50_000
-#: Distinct words that a task holds before it hands them on.
-HELD_WORDS = 500_000
+CHUNK_BYTES, CHUNKS = 24 << 20, 50_000
 
 
 @lru_cache(1)
@@ -32,11 +30,6 @@ def pieces(path: str) -> list[str]:
     return [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
 
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """id, piece: a row for each entry of the vocabulary."""
-    return spark.createDataFrame(list(enumerate(pieces(path))), "id long, piece string")
-
-
 def _chunks(src: DataFrame) -> DataFrame:
     """src with chunk, in files by chunk. Rows are numbered for it, so neither ids nor texts that repeat pile up."""
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -44,44 +37,33 @@ def _chunks(src: DataFrame) -> DataFrame:
     return bucketed(src.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "chunk", n, "chunks")
 
 
-def _words(chunks: DataFrame) -> DataFrame:
-    """chunk, word: the distinct words of each chunk."""
+def _split(column: pa.Array) -> tuple[list[list[str] | None], list[str]]:
+    """The words of each text (None if only the library can split it), and the sorted distinct words of all."""
+    lists = [pre_split(t, "word") for t in texts(column)]
+    return lists, sorted(set().union(*(x for x in lists if x)))
 
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
-            for k, words in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(words), pa.int32()), pa.array(words, pa.string())], ["chunk", "word"])
 
-        seen: dict[int, set[str]] = {}
-        for batch in slices(batches, "text"):
-            for k, t in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                words = pre_split(t, "word")
-                if words:
-                    seen.setdefault(k, set()).update(words)
-            if sum(map(len, seen.values())) > HELD_WORDS:
-                yield from out(seen)
-                seen = {}
-        yield from out(seen)
+def _words(chunks: DataFrame) -> DataFrame:
+    """chunk, n, word: the distinct words of each chunk, numbered from 0 in their order."""
+
+    def run(own: pa.Table) -> pa.Table:
+        words = _split(own.column("text"))[1]
+        return pa.table({"chunk": pa.array([own.column("chunk")[0].as_py()] * len(words), pa.int32()), "n": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
 
-    return chunks.select("chunk", "text").mapInArrow(run, "chunk int, word string").distinct()
+    return chunks.select("chunk", "text").groupBy("chunk").applyInArrow(run, "chunk int, n int, word string")
 
 
 def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """word, ids binary, decoded: each word's ids and their pieces, one space between."""
+    """word, ids binary: each word's ids."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = load(path)
         for b in batches:
-            ids = [e.ids for e in library.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int64()))], ["word", "ids"])
+            ids = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
 
-    table = stored(words.mapInArrow(run, "word string, ids array<long>"), "word-ids")
-    # ids of words to pieces by a join; the vocabulary, some fifty thousand rows, is the broadcast side
-    each = table.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(piece_table(words.sparkSession, path)), "id")
-    decoded = each.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda p: p["piece"]), " ").alias("decoded"))
-    return table.join(decoded, "word", "left").select("word", "ids", F.coalesce("decoded", F.lit("")).alias("decoded"))
+    return words.mapInArrow(run, "word string, ids binary")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -99,32 +81,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     chunks = _chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     used = stored(_words(chunks), "chunk-words")
     table = stored(_encoded(used.select("word").distinct(), path), "words")
-    known = used.join(table, "word").select("chunk", "word", "ids", "decoded")
+    known = used.join(table, "word").select("chunk", "n", "ids")
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        ids = words.column("ids").combine_chunks()
-        packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = 4 * np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)) if len(words) else []
-        found, start = {}, 0
-        for word, end, decoded in zip(words.column("word").to_pylist(), ends, words.column("decoded").to_pylist(), strict=True):
-            found[word] = (packed[start:end], decoded)
-            start = int(end)
-        parts = []
-        for batch in slices(iter(own.to_batches()), "text"):
-            out_ids, out_text = [], []
-            for t in texts(batch.column(batch.schema.get_field_index("text"))):
-                split = pre_split(t, "word")
-                if split is None:
-                    one, piece = load(path).encode(t, add_special_tokens=False).ids, pieces(path)
-                    out_ids.append(np.array(one, "<u4").tobytes())
-                    out_text.append(" ".join(map(piece.__getitem__, one)))
-                else:
-                    got = [found[w] for w in split]
-                    out_ids.append(b"".join([x[0] for x in got]))
-                    out_text.append(" ".join([x[1] for x in got]))
-            sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
-            parts.append(pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), sizes, pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], ["id", "n_tokens", "ids", "decoded"]))
-        return pa.Table.from_batches(parts, None if parts else pa.schema([("id", own.schema.field("id").type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
+        lists, names = _split(own.column("text"))
+        piece = pieces(path)
+        found: list[bytes] = [b""] * len(names)
+        for n, ids in zip(words.column("n").to_pylist(), words.column("ids").to_pylist(), strict=True):
+            found[n] = ids
+        # ids and pieces of each word, put back by position
+        joined = {w: (ids, " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))) for w, ids in zip(names, found, strict=True)}
+        del found, names
+        out_ids, out_text = [], []
+        for i, split in enumerate(lists):
+            if split is None:
+                one = load(path).encode(own.column("text")[i].as_py() or "", add_special_tokens=False).ids
+                out_ids.append(np.array(one, "<u4").tobytes())
+                out_text.append(" ".join(map(piece.__getitem__, one)))
+            else:
+                got = [joined[w] for w in split]
+                out_ids.append(b"".join([x[0] for x in got]))
+                out_text.append(" ".join([x[1] for x in got]))
+            lists[i] = None
+        sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+        return pa.table({"id": own.column("id"), "n_tokens": sizes, "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
