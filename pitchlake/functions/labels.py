@@ -134,6 +134,7 @@ def colour_name(b: Column, g: Column, r: Column) -> Column:
     s = F.when(top > 0, spread / top * 255).otherwise(0.0)
     degrees = F.when(spread == 0, 0.0).when(top == r, (g - b) / spread * 60).when(top == g, (b - r) / spread * 60 + 120).otherwise((r - g) / spread * 60 + 240)
     h = F.round(F.when(degrees < 0, degrees + 360).otherwise(degrees) / 2) % 180
+    # The upper limits of hues, and of value and saturation below.
     names = ((10, "red"), (25, "orange"), (35, "yellow"), (85, "green"), (100, "cyan"), (130, "blue"), (160, "purple"), (170, "pink"))
     out = F.when(top < 50, "black").when(F.round(s) < 45, F.when(top > 150, "white").otherwise("gray"))
     for limit, name in names:
