@@ -1,9 +1,9 @@
 """Operator 3: BPE encoding and decoding through a distinct-word table.
 
-Texts are dealt into chunks of bounded size. Each chunk is split into words; each
-distinct word of all texts is encoded once by the library. The table's rows are joined
-to the chunks whose words they are; there ids are joined to their pieces, and both are
-put back by position.
+Texts are dealt into chunks of bounded size, and each chunk's distinct words are
+numbered. All chunks' words meet in one order, where each distinct word is encoded once
+by the library; its ids go back to the chunks by number. There ids are joined to their
+pieces, and both are put back by position.
 """
 
 from __future__ import annotations
@@ -13,14 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, frugal, stored, texts, tuned
+from .common import bucketed, frugal, slices, texts, tuned
 from .tokenizing import load, pre_split, tokenizer_file
 
 #: Bytes of text in a chunk on the average; chunks at most, beyond which they grow.
-CHUNK_BYTES, CHUNKS = 24 << 20, 50_000
+CHUNK_BYTES, CHUNKS = 16 << 20, 50_000
 
 
 @lru_cache(1)
@@ -37,33 +38,48 @@ def _chunks(src: DataFrame) -> DataFrame:
     return bucketed(src.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "chunk", n, "chunks")
 
 
-def _split(column: pa.Array) -> tuple[list[list[str] | None], list[str]]:
-    """The words of each text (None if only the library can split it), and the sorted distinct words of all."""
-    lists = [pre_split(t, "word") for t in texts(column)]
-    return lists, sorted(set().union(*(x for x in lists if x)))
+def _distinct(column: pa.ChunkedArray) -> list[str]:
+    """The sorted distinct words of all texts that needn't go to the library whole."""
+    seen: set[str] = set()
+    for part in column.chunks:
+        for t in texts(part):
+            seen.update(pre_split(t, "word") or ())
+    return sorted(seen)
 
 
 def _words(chunks: DataFrame) -> DataFrame:
     """chunk, n, word: the distinct words of each chunk, numbered from 0 in their order."""
 
     def run(own: pa.Table) -> pa.Table:
-        words = _split(own.column("text"))[1]
-        return pa.table({"chunk": pa.array([own.column("chunk")[0].as_py()] * len(words), pa.int32()), "n": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.string())})
+        words = _distinct(own.column("text"))
+        chunk = own.column("chunk")[0].as_py()
+        del own
+        return pa.table({"chunk": pa.array(np.full(len(words), chunk, np.int32)), "n": pa.array(np.arange(len(words), dtype=np.int32)), "word": pa.array(words, pa.string())})
 
     return chunks.select("chunk", "text").groupBy("chunk").applyInArrow(run, "chunk int, n int, word string")
 
 
-def _encoded(words: DataFrame, path: str) -> DataFrame:
-    """word, ids binary: each word's ids."""
+def _encoded(used: DataFrame, path: str) -> DataFrame:
+    """chunk, n, ids binary of rows (chunk, n, word): rows of one word stand together, and the word is encoded once."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = load(path)
+        library, last, last_ids = load(path), None, b""
         for b in batches:
-            ids = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids binary")
+            if not b.num_rows:
+                continue
+            runs = pc.run_end_encode(b.column(2))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            goes_on = words[0] == last
+            ids = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words[1:] if goes_on else words, add_special_tokens=False)]
+            ids = [last_ids, *ids] if goes_on else ids
+            last, last_ids = words[-1], ids[-1]
+            take = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(pa.array(take))], ["chunk", "n", "ids"])
+
+    # a word stands in each chunk once at most, so the rows of a frequent one are as many as chunks
+    dealt = used.select("chunk", "n", "word").repartition("word").sortWithinPartitions("word")
+    return dealt.mapInArrow(run, "chunk int, n int, ids binary")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
@@ -79,32 +95,32 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     path = tokenizer_file(tokenizer)
     tuned(docs.sparkSession)
     chunks = _chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    used = stored(_words(chunks), "chunk-words")
-    table = stored(_encoded(used.select("word").distinct(), path), "words")
-    known = used.join(table, "word").select("chunk", "n", "ids")
+    known = _encoded(_words(chunks), path)
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        lists, names = _split(own.column("text"))
-        piece = pieces(path)
-        found: list[bytes] = [b""] * len(names)
-        for n, ids in zip(words.column("n").to_pylist(), words.column("ids").to_pylist(), strict=True):
-            found[n] = ids
-        # ids and pieces of each word, put back by position
-        joined = {w: (ids, " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))) for w, ids in zip(names, found, strict=True)}
-        del found, names
-        out_ids, out_text = [], []
-        for i, split in enumerate(lists):
-            if split is None:
-                one = load(path).encode(own.column("text")[i].as_py() or "", add_special_tokens=False).ids
-                out_ids.append(np.array(one, "<u4").tobytes())
-                out_text.append(" ".join(map(piece.__getitem__, one)))
-            else:
-                got = [joined[w] for w in split]
-                out_ids.append(b"".join([x[0] for x in got]))
-                out_text.append(" ".join([x[1] for x in got]))
-            lists[i] = None
-        sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
-        return pa.table({"id": own.column("id"), "n_tokens": sizes, "ids": pa.array(out_ids, pa.binary()), "decoded": pa.array(out_text, pa.string())})
+        piece, names = pieces(path), _distinct(own.column("text"))
+        # ids and pieces of each word, found by its number
+        joined = dict.fromkeys(names)
+        for part in words.select(["n", "ids"]).to_batches(10_000):
+            for n, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                joined[names[n]] = ids, " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        del names, words
+        parts = []
+        for batch in slices(iter(own.select(["id", "text"]).to_batches()), "text"):  # put back by position
+            out_ids, out_text = [], []
+            for t in texts(batch.column(1)):
+                split = pre_split(t, "word")
+                if split is None:
+                    one = load(path).encode(t, add_special_tokens=False).ids
+                    out_ids.append(np.array(one, "<u4").tobytes())
+                    out_text.append(" ".join(map(piece.__getitem__, one)))
+                else:
+                    got = [joined[w] for w in split]
+                    out_ids.append(b"".join([x[0] for x in got]))
+                    out_text.append(" ".join([x[1] for x in got]))
+            sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
+            parts.append(pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], ["id", "n_tokens", "ids", "decoded"]))
+        return pa.Table.from_batches(parts, None if parts else pa.schema([("id", own.schema.field("id").type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")
