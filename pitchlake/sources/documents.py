@@ -23,6 +23,7 @@ def osl_documents(events: DataFrame, match: str, columns: list[str], metadata: d
     g = events.groupBy(match).agg(F.collect_list(item).alias("events"), *facts.values(), *more)
     pairs = [F.struct(F.lit(k).alias("key"), F.col(f"_m{i}").alias("value")) for i, k in enumerate(facts)]
     known = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull())) if pairs else F.create_map().cast("map<string,string>")
+    # Name and version of the format.
     doc = F.struct(F.lit("osl-json").alias("format"), F.lit("2.0").alias("version"), F.col(match).cast("string").alias("match_id"), known.alias("metadata"), F.col("events"), (F.col("_tracking") if more else F.array().cast("array<string>")).alias("tracking"))
     return g.select(match, F.to_json(doc).alias("doc"))
 
@@ -145,6 +146,7 @@ def homography_document(rows: DataFrame, key: str, frame: str = "frame", ts: str
     nested = F.when(F.col(h).isNotNull(), F.array(*(F.slice(F.col(h), i, 3) for i in (1, 4, 7))))
     item = F.struct(F.col(frame).cast("long").alias("frame"), F.round(ts, 3).alias("timestamp_s"), nested.alias("H"))
     g = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("homographies"), F.max(F.lit(None).cast("double") if fps is None else fps).alias("fps"))
+    # Fixed value: the name that readers of this format expect as its source.
     doc = F.struct(F.col(key).cast("string").alias("video"), "fps", F.lit("KpSFR").alias("source"), "homographies")
     return g.select(key, F.to_json(doc, _KEEP_NULLS).alias("doc"))
 
