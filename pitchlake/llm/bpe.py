@@ -21,7 +21,7 @@ from .common import bucketed, frugal, slices, texts, tuned
 from .tokenizing import load, pre_split, tokenizer_file
 
 #: Bytes of text in a chunk on the average; chunks at most, beyond which they grow.
-CHUNK_BYTES, CHUNKS = 16 << 20, 50_000
+CHUNK_BYTES, CHUNKS = 24 << 20, 50_000
 
 
 @lru_cache(1)
@@ -31,6 +31,11 @@ def pieces(path: str) -> list[str]:
     return [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
 
 
+def _packing(path: str) -> str:
+    """How ids are packed between steps: in two bytes where the vocabulary allows."""
+    return "<u2" if len(pieces(path)) <= 1 << 16 else "<u4"
+
+
 def _chunks(src: DataFrame) -> DataFrame:
     """src with chunk, in files by chunk. Rows are numbered for it, so neither ids nor texts that repeat pile up."""
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -60,18 +65,18 @@ def _words(chunks: DataFrame) -> DataFrame:
 
 
 def _encoded(used: DataFrame, path: str) -> DataFrame:
-    """chunk, n, ids binary of rows (chunk, n, word): rows of one word stand together, and the word is encoded once."""
+    """chunk, n, ids binary (as _packing() says) of rows (chunk, n, word): rows of one word stand together, and the word is encoded once."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, last, last_ids = load(path), None, b""
+        library, last, last_ids, kind = load(path), None, b"", _packing(path)
         for b in batches:
             if not b.num_rows:
                 continue
             runs = pc.run_end_encode(b.column(2))
             words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
             goes_on = words[0] == last
-            ids = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(words[1:] if goes_on else words, add_special_tokens=False)]
+            ids = [np.array(e.ids, kind).tobytes() for e in library.encode_batch(words[1:] if goes_on else words, add_special_tokens=False)]
             ids = [last_ids, *ids] if goes_on else ids
             last, last_ids = words[-1], ids[-1]
             take = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
@@ -98,12 +103,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     known = _encoded(_words(chunks), path)
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        piece, names = pieces(path), _distinct(own.column("text"))
+        piece, names, packed = pieces(path), _distinct(own.column("text")), _packing(path)
         # ids and pieces of each word, found by its number
         joined = dict.fromkeys(names)
         for part in words.select(["n", "ids"]).to_batches(10_000):
             for n, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                joined[names[n]] = ids, " ".join(map(piece.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                own_ids = np.frombuffer(ids, packed)
+                joined[names[n]] = own_ids.astype("<u4").tobytes(), " ".join(map(piece.__getitem__, own_ids.tolist()))
         del names, words
         parts = []
         for batch in slices(iter(own.select(["id", "text"]).to_batches()), "text"):  # put back by position

@@ -70,7 +70,7 @@ def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     path = tokenizer_file("word_bpe_49k.json")
     t = load(path)
     back = bpe._encoded(used, path).join(used, ["chunk", "n"]).collect()
-    assert len(back) == used.count() and all(np.frombuffer(r.ids, "<u4").tolist() == t.encode(r.word, add_special_tokens=False).ids for r in back)
+    assert len(back) == used.count() and all(np.frombuffer(r.ids, bpe._packing(path)).tolist() == t.encode(r.word, add_special_tokens=False).ids for r in back)
     got = sorted((r.doc_id, np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe.encode(df).collect())
     assert got == sorted((i, (ids := t.encode(x or "", add_special_tokens=False).ids), t.decode(ids, skip_special_tokens=False)) for i, x in data)
 
