@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import bucketed, frugal, slices, texts, tuned
 from .tokenizing import load, pre_split, tokenizer_file
 
-#: Bytes of text in a chunk on the average; chunks at most, beyond which they grow.
-CHUNK_BYTES, CHUNKS = 24 << 20, 50_000
+#: Bytes of text in a chunk on the average, which one task holds; files that chunks are dealt into, at most.
+CHUNK_BYTES, BUCKETS = 24 << 20, 50_000
 
 
 @lru_cache(1)
@@ -39,8 +39,8 @@ def _packing(path: str) -> str:
 def _chunks(src: DataFrame) -> DataFrame:
     """src with chunk, in files by chunk. Rows are numbered for it, so neither ids nor texts that repeat pile up."""
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(min(CHUNKS, max(2, size // CHUNK_BYTES)))
-    return bucketed(src.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "chunk", n, "chunks")
+    n = int(max(2, size // CHUNK_BYTES))
+    return bucketed(src.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")), "chunk", min(BUCKETS, n), "chunks")
 
 
 def _distinct(column: pa.ChunkedArray) -> list[str]:

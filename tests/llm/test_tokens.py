@@ -62,6 +62,7 @@ def test_empty_table(spark, op):
 def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
     """Words of many chunks are one row of the table each; results don't depend on the chunks."""
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(bpe, "BUCKETS", 7)
     data = rows() + [(100 + i, f"common words {i} and more common words") for i in range(300)]
     df = frame(spark, data).repartition(5)
     chunks = bpe._chunks(df.select("doc_id", "text"))
