@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+#: lane_grid fills stretches of 2 ** STRETCH_BITS frames.
+STRETCH_BITS = 12
+
 
 def continuous(rows: DataFrame, key: list[str], frame: str = "frame", stride: int = 1, share: float = 0.5, least: int = 10) -> DataFrame:
     """Rows of tracks seen in at least least frames and share of those between their first and last."""
@@ -42,16 +46,27 @@ def lane_grid(rows: DataFrame, team: str, track: str, frame: str, defaults: dict
     """team, slot, frame, the columns of defaults, mask: each team's slots 1..most over the whole frame range of rows.
 
     Slots are the team's longest tracks; a slot without a row in a frame, or with a null
-    value there, has the defaults and mask 0. Of several rows the smallest values count.
+    or NaN value there, has the defaults and mask 0. Of several rows the smallest values count.
+    What is shuffled are the slots' own rows and one for each stretch of frames; each of
+    them gives the frames up to the next one, so the grid itself is never shuffled.
     """
-    low, high = rows.agg(F.min(frame), F.max(frame)).first()
-    frames = rows.sparkSession.range(low or 0, 0 if high is None else high + 1).withColumnRenamed("id", frame)
-    lanes = slots(rows, team, track, most).where("slot > 0").select(team, track, "slot")
-    values = F.min(F.struct(*defaults)).alias("_v")
-    present = rows.dropna(subset=[frame, *defaults]).join(lanes, [team, track]).groupBy(team, "slot", frame).agg(values)
-    grid = frames.crossJoin(F.broadcast(rows.select(team).dropna().distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(most))))))
-    j = grid.join(present, [team, "slot", frame], "left")
-    return j.select(team, "slot", frame, *(F.coalesce(f"_v.{c}", F.lit(v)).alias(c) for c, v in defaults.items()), F.col("_v").isNotNull().cast("int").alias("mask"))
+    at, span = F.col(frame).cast("long"), rows.agg(F.min(frame).cast("long").alias("_low"), F.max(frame).cast("long").alias("_high"))
+    lanes = slots(rows, team, track, most).where("slot > 0").select(team, track, "slot")  # most rows of each team
+    # the semi join comes first: Spark takes it below joins and aggregates that rows is made of
+    own = rows.join(F.broadcast(lanes.select(track)), track, "left_semi").join(F.broadcast(lanes), [team, track])
+    whole = [F.col(c).isNotNull() & ~F.isnan(c) if kind in ("float", "double") else F.col(c).isNotNull() for c, kind in rows.select(*defaults).dtypes]
+    present = own.where(at.isNotNull()).select(team, "slot", at.alias("_at"), F.when(functools.reduce(Column.__and__, whole), F.struct(*defaults)).alias("_v"))
+    begins = F.explode(F.sequence(F.shiftright("_low", STRETCH_BITS), F.shiftright("_high", STRETCH_BITS)))
+    every = rows.select(team).dropna().distinct().withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(most))))
+    marks = every.crossJoin(F.broadcast(span)).withColumn("_begin", begins).select(team, "slot", F.greatest("_low", F.shiftleft("_begin", STRETCH_BITS)).alias("_at"), F.lit(None).cast(present.schema["_v"].dataType).alias("_v"))
+    known = marks.unionByName(present).withColumn("_stretch", F.shiftright("_at", STRETCH_BITS))
+    # a fixed number of partitions: what goes in is too small to tell what comes out
+    dealt = known.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), team, "slot", "_stretch").groupBy(team, "slot", "_stretch", "_at").agg(F.min("_v").alias("_v"))
+    ahead = dealt.withColumn("_next", F.lead("_at").over(Window.partitionBy(team, "slot", "_stretch").orderBy("_at"))).crossJoin(F.broadcast(span))
+    until = F.coalesce(F.col("_next") - 1, F.least("_high", F.shiftleft(F.col("_stretch") + 1, STRETCH_BITS) - 1))
+    grid = ahead.select(team, "slot", "_at", "_v", F.explode(F.sequence("_at", until)).alias("_frame"))
+    seen = (F.col("_frame") == F.col("_at")) & F.col("_v").isNotNull()
+    return grid.select(team, "slot", F.col("_frame").alias(frame), *(F.when(seen, F.col(f"_v.{c}")).otherwise(F.lit(v)).alias(c) for c, v in defaults.items()), seen.cast("int").alias("mask"))
 
 
 def best_class(scores: Column) -> tuple[Column, Column]:

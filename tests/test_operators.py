@@ -1,6 +1,7 @@
 """Scenarios on small tables, and folds against plain Python."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -396,3 +397,25 @@ def test_lane_grid_covers_all_frames_and_ranked_lanes(spark):
     assert {k: x for k, (x, m) in got.items() if m} == {("a", 1, 3): 3.0, ("a", 1, 250): 250.0, ("a", 1, 999): 999.0, ("a", 2, 3): 1.0, ("b", 1, 300): 2.0}
     assert {x for x, m in got.values() if not m} == {50.0}
     assert tracklets.lane_grid(rows.limit(0), "team", "track", "frame", {"x": 50.0}).collect() == []
+
+
+def test_lane_grid_is_not_shuffled_and_fills_each_stretch(spark, monkeypatch):
+    """Rows on the edges of stretches, repeated, null and NaN ones; below zero too."""
+    rng = random.Random(3)
+    seen = [(rng.choice(["a", "b", "c", None]), rng.randrange(4), rng.randrange(-37, 90), rng.choice([1.0, 2.0, None, float("nan")])) for _ in range(300)]
+    seen += [("a", 1, f, 5.0) for f in (-16, -9, -8, -1, 0, 7, 8, 15, 16)] + [("a", 1, None, 9.0), ("b", None, 3, 9.0)]
+    rows = spark.createDataFrame(seen, "team string, track long, frame long, x double")
+    n = Counter((t, k) for t, k, _, _ in seen if t)
+    slot = {(t, k): i + 1 for t in "abc" for i, (_, _, k) in enumerate(sorted((-c, k is not None, k) for (o, k), c in n.items() if o == t)[:3])}
+    low, high = (f(r[2] for r in seen if r[2] is not None) for f in (min, max))
+    want = {(t, s, f): (50.0, 0) for t in "abc" for s in (1, 2, 3) for f in range(low, high + 1)}
+    for t, k, f, x in sorted((r for r in seen if None not in r and r[3] == r[3] and r[:2] in slot), key=lambda r: -r[3]):
+        want[t, slot[t, k], f] = (x, 1)
+    for bits in (3, 12):
+        monkeypatch.setattr(tracklets, "STRETCH_BITS", bits)
+        grid = tracklets.lane_grid(rows, "team", "track", "frame", {"x": 50.0}, 3)
+        got = grid.collect()
+        assert len(got) == len(want) and {(r.team, r.slot, r.frame): (r.x, r.mask) for r in got} == want
+    # nothing that moves or sorts rows stands above the step that makes the grid
+    above = grid._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
+    assert not any(x in above for x in ("Exchange", "Join", "Sort"))
