@@ -38,13 +38,17 @@ def nearest_player(ball: DataFrame, players: DataFrame, key: list[str], most: fl
 
 
 def nearest_valid(rows: DataFrame, key: list[str], order: str, value: str, out: str = "nearest") -> DataFrame:
-    """The value that isn't null of the nearest row by order, the lower one of two as near."""
-    w = Window.partitionBy(*key).orderBy(order)
-    item = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
-    back = F.last(item, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(item, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    """The value that isn't null of the nearest row by order, the lower one of two as near, the smallest of rows that share it.
+
+    Rows without an order are near nothing. Both windows grow from one end of the key, so each row is taken up once: a frame that
+    ends at the last row would be added up anew for every row.
+    """
+    o, part = F.col(order), Window.partitionBy(*key)
+    item = lambda at: F.min(F.when(F.col(value).isNotNull() & o.isNotNull(), F.struct(at.alias("o"), F.col(value).alias("v"))))
+    grown = lambda by: part.orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    back, ahead = item(-o).over(grown(o.asc())), item(o).over(grown(o.desc()))
     far = F.lit(2**62)
-    pick = F.when(F.coalesce(F.col(order) - back["o"], far) <= F.coalesce(ahead["o"] - F.col(order), far), back["v"]).otherwise(ahead["v"])
+    pick = F.when(F.coalesce(o + back["o"], far) <= F.coalesce(ahead["o"] - o, far), back["v"]).otherwise(ahead["v"])
     return rows.withColumn(out, pick)
 
 

@@ -419,3 +419,19 @@ def test_lane_grid_is_not_shuffled_and_fills_each_stretch(spark, monkeypatch):
     # nothing that moves or sorts rows stands above the step that makes the grid
     above = grid._jdf.queryExecution().executedPlan().toString().split("Generate explode")[0]
     assert not any(x in above for x in ("Exchange", "Join", "Sort"))
+
+
+def test_nearest_valid_takes_each_row_up_once(spark):
+    rng = random.Random(8)
+    seen = [(rng.randrange(3), rng.randrange(-20, 60), rng.choice([None, None, 1.0, 2.0, 3.0])) for _ in range(120)] + [(4, 1, None), (5, None, 7.0), (5, 3, None)]
+    rows = spark.createDataFrame(seen, "k long, o long, v double")
+
+    def near(k, o):
+        found = [(abs(p - o), p, v) for j, p, v in seen if j == k and v is not None and p is not None] if o is not None else []
+        return min(found)[2] if found else None
+
+    df = matching.nearest_valid(rows, ["k"], "o", "v")
+    order = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, df.collect()), key=order) == sorted(((k, o, v, near(k, o)) for k, o, v in seen), key=order)
+    # a frame up to the last row is added up anew for each row
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
