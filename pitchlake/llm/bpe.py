@@ -2,8 +2,9 @@
 
 Texts are dealt into chunks of bounded size, and each chunk's distinct words are
 numbered. All chunks' words meet in one order, where each distinct word is encoded once
-by the library; its ids go back to the chunks by number. There ids are joined to their
-pieces, and both are put back by position.
+by the library; its ids go back to the chunks by number. There each text is split once
+more into its words' numbers, and ids and their pieces are put back by position, whole
+arrays at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, frugal, slices, texts, tuned
+from .common import binary_column, bucketed, frugal, slices, texts, tuned
 from .tokenizing import load, pre_split, tokenizer_file
 
 #: Bytes of text in a chunk on the average, which one task holds; files that chunks are dealt into, at most.
@@ -87,6 +88,60 @@ def _encoded(used: DataFrame, path: str) -> DataFrame:
     return dealt.mapInArrow(run, "chunk int, n int, ids binary")
 
 
+class _Numbers(dict):
+    """word -> number, in the order in which words are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@lru_cache(1)
+def _piece_column(path: str) -> pa.Array:
+    return pa.array(pieces(path), pa.string())
+
+
+def _put_back(own: pa.Table, words: pa.Table, path: str) -> pa.Table:
+    """id, n_tokens, ids, decoded of a chunk's rows (id, text), from rows (n, ids) of its words as _words() numbers them."""
+    packed, numbers, split, whole = _packing(path), _Numbers(), [], []
+    for batch in slices(iter(own.select(["id", "text"]).to_batches()), "text"):
+        found = []
+        for t in texts(batch.column(1)):
+            got = pre_split(t, "word")
+            if got is None:  # one entry for all of the text, counted from the end
+                whole.append(np.array(load(path).encode(t, add_special_tokens=False).ids, packed))
+                found.append(np.array([-len(whole)], np.int32))
+            else:
+                found.append(np.fromiter(map(numbers.__getitem__, got), np.int32, len(got)))
+        split.append((batch.column(0), np.concatenate(found), np.cumsum([0, *map(len, found)])))
+    m, order = len(numbers), sorted(numbers)
+    n = words.column("n").to_numpy()
+    if len(n) != m or len(np.unique(n)) != m or (m and n.max() != m - 1):
+        raise ValueError(f"{len(n)} numbered words for a chunk of {m}")
+    # entry of each number: words in their order, then whole texts, so that the last number finds the first of these
+    entry = np.empty(m + len(whole), np.int64)
+    entry[np.fromiter(map(numbers.__getitem__, order), np.int64, m)] = np.arange(m)
+    entry[m:] = np.arange(m, len(entry))[::-1]
+    del numbers, order
+    known = [pa.concat_arrays(words.column("ids").chunks).cast(pa.large_binary())] if m else []
+    ends = [np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] // np.dtype(packed).itemsize for x in known]
+    flat = np.concatenate([*(np.frombuffer(x.buffers()[2], packed)[e[0] : e[-1]] if e[-1] > e[0] else np.zeros(0, packed) for x, e in zip(known, ends, strict=True)), *whole, np.zeros(0, packed)])
+    lengths = np.concatenate([*(np.diff(e) for e in ends), np.array([len(x) for x in whole], np.int64)])
+    starts, at = np.cumsum(lengths) - lengths, np.concatenate([n, np.arange(m, len(entry))])
+    first, size = np.empty(len(entry), np.int64), np.empty(len(entry), np.int64)
+    first[at], size[at] = starts, lengths
+    parts = []
+    for ids_of_rows, found, bounds in split:
+        e = entry[found]
+        upto = np.cumsum(np.concatenate([[0], size[e]]))
+        ids = flat[np.repeat(first[e] - upto[:-1], size[e]) + np.arange(upto[-1])]
+        ends_of_rows = upto[bounds]
+        pieces_of_rows = pa.ListArray.from_arrays(pa.array(ends_of_rows.astype(np.int32)), _piece_column(path).take(pa.array(ids)))
+        counts = np.diff(ends_of_rows)
+        parts.append(pa.RecordBatch.from_arrays([ids_of_rows, pa.array(counts, pa.int64()), binary_column(ids.astype("<u4"), counts * 4), pc.binary_join(pieces_of_rows, " ")], ["id", "n_tokens", "ids", "decoded"]))
+    return pa.Table.from_batches(parts, None if parts else pa.schema([("id", own.schema.field("id").type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json") -> DataFrame:
     """One row per input row: id, n_tokens long, ids binary (little-endian unsigned 32-bit), decoded string.
 
@@ -103,30 +158,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     known = _encoded(_words(chunks), path)
 
     def run(own: pa.Table, words: pa.Table) -> pa.Table:
-        piece, names, packed = pieces(path), _distinct(own.column("text")), _packing(path)
-        # ids and pieces of each word, found by its number
-        joined = dict.fromkeys(names)
-        for part in words.select(["n", "ids"]).to_batches(10_000):
-            for n, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                own_ids = np.frombuffer(ids, packed)
-                joined[names[n]] = own_ids.astype("<u4").tobytes(), " ".join(map(piece.__getitem__, own_ids.tolist()))
-        del names, words
-        parts = []
-        for batch in slices(iter(own.select(["id", "text"]).to_batches()), "text"):  # put back by position
-            out_ids, out_text = [], []
-            for t in texts(batch.column(1)):
-                split = pre_split(t, "word")
-                if split is None:
-                    one = load(path).encode(t, add_special_tokens=False).ids
-                    out_ids.append(np.array(one, "<u4").tobytes())
-                    out_text.append(" ".join(map(piece.__getitem__, one)))
-                else:
-                    got = [joined[w] for w in split]
-                    out_ids.append(b"".join([x[0] for x in got]))
-                    out_text.append(" ".join([x[1] for x in got]))
-            sizes = pa.array([len(x) // 4 for x in out_ids], pa.int64())
-            parts.append(pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(out_ids, pa.binary()), pa.array(out_text, pa.string())], ["id", "n_tokens", "ids", "decoded"]))
-        return pa.Table.from_batches(parts, None if parts else pa.schema([("id", own.schema.field("id").type), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
+        return _put_back(own, words, path)
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = chunks.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, f"id {kind}, n_tokens long, ids binary, decoded string")

@@ -4,9 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitchlake.llm import bpe, tokencount
+from pitchlake.llm.common import slices
 from pitchlake.llm.tokenizing import load, tokenizer_file
 
 ODD = [
@@ -80,3 +82,21 @@ def test_null_ids_and_only_unusual_texts(spark):
     df = spark.createDataFrame([(None, "日本語"), (None, "日本語"), (3, None)], "doc_id long, text string")
     t = load(tokenizer_file("word_bpe_49k.json"))
     assert sorted((r.doc_id or 0, r.n_tokens) for r in bpe.encode(df).collect()) == [(0, len(t.encode("日本語", add_special_tokens=False).ids))] * 2 + [(3, 0)]
+
+
+def test_last_step_splits_each_text_once(monkeypatch):
+    path = tokenizer_file("word_bpe_49k.json")
+    t, data = load(path), rows()
+    own = pa.table({"id": pa.array([i for i, _ in data], pa.int64()), "text": pa.array([x for _, x in data], pa.string())})
+    names = bpe._distinct(own.column("text"))
+    n = list(range(len(names)))[::-1]  # in any order
+    words = pa.table({"n": pa.array(n, pa.int32()), "ids": pa.array([np.array(t.encode(names[i], add_special_tokens=False).ids, bpe._packing(path)).tobytes() for i in n], pa.binary())})
+    split, asked = bpe.pre_split, []
+    monkeypatch.setattr(bpe, "pre_split", lambda text, kind: asked.append(text) or split(text, kind))
+    monkeypatch.setattr(bpe, "slices", lambda batches, text: slices(batches, text, 400))
+    got = bpe._put_back(own, words, path).to_pylist()
+    assert asked == [x or "" for _, x in data]
+    want = [(i, t.encode(x or "", add_special_tokens=False).ids) for i, x in data]
+    assert [(r["id"], r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in got] == [(i, len(ids), ids, t.decode(ids, skip_special_tokens=False)) for i, ids in want]
+    with pytest.raises(ValueError):
+        bpe._put_back(own, words.slice(1), path)
