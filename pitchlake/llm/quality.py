@@ -238,6 +238,10 @@ class CoTrained:
         self.ca, self.cb = (logistic(np.stack([np.ones(len(held)), held[:, i]], 1), y[fold].astype(float), ridge=1e-4) for i in (0, 1))
         self.combine = logistic(self._calibrated(held), y[fold].astype(float), ridge=1e-3)
 
+    def __getstate__(self) -> dict:
+        """Tasks score with the fitted parts; the labelled rows stay on the driver."""
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("labelled")}
+
     def _calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.stack([np.ones(len(raw)), np.clip(self.ca[0] + self.ca[1] * raw[:, 0], -12, 12), np.clip(self.cb[0] + self.cb[1] * raw[:, 1], -12, 12)], 1)
 

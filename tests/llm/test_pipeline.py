@@ -1,11 +1,13 @@
 """The pipeline against its steps done plainly on a small made-up corpus."""
 
+import pickle
 import random
 
 import numpy as np
 
 import corpus_pipeline
-from pitchlake.llm import pii, quality
+from pitchlake.llm import minhash, pii, quality
+from pitchlake.llm.common import BASES, powers
 from pitchlake.llm.tokenizing import load, tokenizer_file
 
 from .test_classifiers import made
@@ -66,3 +68,19 @@ def test_stage_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, d, sf)
         assert out.columns == d.columns and out.count() == 0
+
+
+def test_task_functions_hold_no_tables(spark, monkeypatch):
+    docs, labels, _ = corpus()
+    powers(BASES[0], 1)  # the driver has this table once it has built a benchmark's index
+    sent = []
+    kind = type(spark.sparkContext)
+    monkeypatch.setattr(kind, "broadcast", lambda self, value, f=kind.broadcast: sent.append(value) or f(self, value))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    minhash.keep_one(d.limit(60)).collect()
+    assert not sent  # PySpark broadcasts functions of over 1 MB
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(quality.prepared(d, lab), lab)
+    blob = pickle.dumps(model)
+    assert len(blob) < model.labelled[0].nbytes + model.labelled[1].nbytes and "labelled" not in vars(pickle.loads(blob))
+    assert (pickle.loads(blob).scores(*model.labelled) == model.scores(*model.labelled)).all()
